@@ -17,9 +17,11 @@ def by_project(df: DataFrame, hot_rows: int | None = None) -> Timeline:
     return Timeline.of(df, [PROJECT], TIME_ORDER, hot_rows)
 
 
-def by_committer(df: DataFrame, hot_rows: int | None = None) -> Timeline:
+def by_committer(
+    df: DataFrame, hot_rows: int | None = None, base: DataFrame | None = None
+) -> Timeline:
     """Committer flags have two values, so this order is nearly always sliced."""
-    return Timeline.of(df, [COMMITTER], [PROJECT, *TIME_ORDER], hot_rows)
+    return Timeline.of(df, [COMMITTER], [PROJECT, *TIME_ORDER], hot_rows, base)
 
 
 def _rate(line: Timeline, name: str, exclude_current: bool) -> Timeline:
@@ -95,9 +97,11 @@ def comm_avg_experience(df: DataFrame) -> DataFrame:
     return by_committer(df).position("comm_avg_experience").frame()
 
 
-def num_distinct_authors(df: DataFrame, build: str = "tr_build_id") -> DataFrame:
+def num_distinct_authors(
+    df: DataFrame, build: str = "tr_build_id", base: DataFrame | None = None
+) -> DataFrame:
     """Distinct committer values per build id, on every row of the build."""
-    per_build = df.groupBy(build).agg(
+    per_build = (df if base is None else base).groupBy(build).agg(
         F.count_distinct(COMMITTER).alias("num_distinct_authors"))
     return df.join(per_build, build, "left")
 
@@ -116,6 +120,6 @@ def calendar(df: DataFrame) -> DataFrame:
 def add_build_features(df: DataFrame, exclude_current: bool = False) -> DataFrame:
     """Every history, calendar and change feature of a labelled job table."""
     rows = project_history(by_project(calendar(df)), exclude_current).frame()
-    rows = committer_history(by_committer(rows), exclude_current).frame()
-    rows = num_distinct_authors(rows)
+    rows = committer_history(by_committer(rows, base=df), exclude_current).frame()
+    rows = num_distinct_authors(rows, base=df)
     return num_files_edited(no_config_edited(rows))

@@ -160,7 +160,7 @@ def impute_interpolate(
 
 
 def interpolate(line: Timeline, column: str) -> Timeline:
-    line = line.position("_at")
+    line = line.position("_at").rebased()
     known = F.when(F.col(column).isNotNull(), F.struct(
         F.col(column).cast("double").alias("v"), F.col("_at").alias("at")))
     line = line.nearest_known("_past", "_next", known)

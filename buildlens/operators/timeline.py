@@ -91,9 +91,16 @@ def _slice_of(order: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Timeline:
-    """Rows with an order inside each key, possibly cut into slices."""
+    """Rows with an order inside each key, possibly cut into slices.
+
+    ``rows`` gains columns; ``base`` holds the same rows as they came in.
+    Per-slice tables are computed from ``base``, so adding several features
+    re-reads the input a fixed number of times instead of stacking the joins
+    of one feature below those of the next.
+    """
 
     rows: DataFrame
+    base: DataFrame
     keys: list[str]
     order: list[str]
     split: bool
@@ -105,21 +112,31 @@ class Timeline:
         keys: Iterable[str],
         order: Iterable[str],
         hot_rows: int | None = None,
+        base: DataFrame | None = None,
     ) -> Timeline:
+        """Order ``df`` by ``order`` inside ``keys``.
+
+        ``base`` may name a cheaper source with the same rows and the columns
+        the features need (the scan that ``df`` was derived from).
+        """
         keys, order = list(keys), list(order)
-        cuts = _cut_table(df, keys, order, hot_rows_of(df, hot_rows))
+        base = df if base is None else base
+        cuts = _cut_table(base, keys, order, hot_rows_of(df, hot_rows))
         # Rows without a key get no result; they are spread instead of piled
         # into the null group.
         spread = F.pmod(F.xxhash64(*order), F.lit(4096)).cast("int")
         if cuts is None:
-            sliced = df.withColumn(SLICE, F.when(_key_known(keys), F.lit(0)).otherwise(spread))
-            return cls(sliced, keys, order, split=False)
-        sliced = (
-            df.join(F.broadcast(cuts), keys, "left")
-            .withColumn(SLICE, F.when(_key_known(keys), _slice_of(order)).otherwise(spread))
-            .drop("_cuts")
-        )
-        return cls(sliced, keys, order, split=True)
+            slice_id = F.when(_key_known(keys), F.lit(0)).otherwise(spread)
+            rows = df.withColumn(SLICE, slice_id)
+            return cls(rows, rows, keys, order, split=False)
+        slice_id = F.when(_key_known(keys), _slice_of(order)).otherwise(spread)
+
+        def cut(frame: DataFrame) -> DataFrame:
+            joined = frame.join(F.broadcast(cuts), keys, "left")
+            return joined.withColumn(SLICE, slice_id).drop("_cuts")
+
+        rows = cut(df)
+        return cls(rows, rows if base is df else cut(base), keys, order, split=True)
 
     # -- building blocks -----------------------------------------------------
     @property
@@ -138,9 +155,7 @@ class Timeline:
         return F.when(_key_known(self.keys), value)
 
     def _per_slice(self, *aggregates: Column) -> DataFrame:
-        return (
-            self.rows.filter(_key_known(self.keys)).groupBy(*self._cell).agg(*aggregates)
-        )
+        return self.base.filter(_key_known(self.keys)).groupBy(*self._cell).agg(*aggregates)
 
     def _carry(self, rows: DataFrame, carried: DataFrame, needed: Column) -> DataFrame:
         """Join a per-slice table back; only slices with a predecessor matter.
@@ -157,6 +172,10 @@ class Timeline:
         """Apply a row-wise change that keeps the key, order and slice columns."""
         return self._with(change(self.rows))
 
+    def rebased(self) -> Timeline:
+        """Let later steps also use the columns added so far."""
+        return replace(self, base=self.rows)
+
     def frame(self) -> DataFrame:
         return self.rows.drop(SLICE)
 
@@ -225,7 +244,7 @@ class Timeline:
         backwards = Window.partitionBy(*self._cell).orderBy(*[F.desc(c) for c in self.order])
         back = -(-length // SAMPLES_PER_SLICE)
         kept = (
-            self.rows.filter(_key_known(self.keys))
+            self.base.filter(_key_known(self.keys))
             .select(*self._cell, *self.order, F.struct(value.alias("v")).alias("_value"))
             .withColumn("_back", F.row_number().over(backwards))
             .filter(F.col("_back") <= length)
