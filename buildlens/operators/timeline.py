@@ -218,6 +218,26 @@ class Timeline:
             ).drop("_before")
         return self._with(rows.withColumn(name, self._known(F.col(name))))
 
+    def head(self, name: str, count: int) -> Timeline:
+        """Keep the first ``count`` rows of each key and add their position.
+
+        Slices that start later are dropped before anything is sorted; the
+        list of those is bounded like the cut table.
+        """
+        line = self
+        if self.split:
+            before = self._slices.rowsBetween(Window.unboundedPreceding, -1)
+            late = (
+                self._per_slice(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_before", F.sum("_n").over(before))
+                .filter(F.col("_before") >= count)
+                .select(*self._cell)
+            )
+            kept = self.rows.join(F.broadcast(late), self._cell, "left_anti")
+            line = replace(self, rows=kept, base=kept if self.base is self.rows else
+                           self.base.join(F.broadcast(late), self._cell, "left_anti"))
+        return line.position(name).map(lambda rows: rows.filter(F.col(name) <= count))
+
     def previous(self, values: Mapping[str, Column]) -> Timeline:
         """Add values of the row just before this one, null on the first row."""
         window = self._ordered
