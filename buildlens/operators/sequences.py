@@ -71,20 +71,22 @@ def feature_vector(features: Iterable[str]) -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
 
 
-def _windowed(
-    df: DataFrame, features: list[str], length: int, keys: list[str], order: list[str]
+def windowed(
+    df: DataFrame, features: list[str], length: int, keys: list[str], order: list[str],
+    bounded: bool = False,
 ) -> DataFrame:
-    line = Timeline.of(df, keys, order).history("window", feature_vector(features), length)
-    return line.frame()
+    """Every row with up to ``length`` feature rows before it, as ``window``."""
+    line = Timeline.of(df, keys, order, bounded=bounded)
+    return line.history("window", feature_vector(features), length).frame()
 
 
 def train_windows(
     df: DataFrame, features: list[str], length: int, keys: Iterable[str] = (PROJECT,),
-    order: Iterable[str] = TIME_ORDER,
+    order: Iterable[str] = TIME_ORDER, bounded: bool = False,
 ) -> DataFrame:
     """One row per complete window: the ``length`` rows before a row, and its
     label. A key of n rows gives n - length windows, or none."""
-    rows = _windowed(df, features, length, list(keys), list(order))
+    rows = windowed(df, features, length, list(keys), list(order), bounded)
     return rows.filter(F.size("window") == length)
 
 
@@ -94,13 +96,13 @@ def zero_rows(count: Column, width: int) -> Column:
 
 def test_windows(
     df: DataFrame, features: list[str], length: int, keys: Iterable[str] = (PROJECT,),
-    order: Iterable[str] = TIME_ORDER, split: str = "split",
+    order: Iterable[str] = TIME_ORDER, split: str = "split", bounded: bool = False,
 ) -> DataFrame:
     """One window per test row over train and test rows before it; short
     windows get zero rows on the left. ``split`` tells train from test."""
     # train rows come before test rows whatever their time
     ranked = df.withColumn("_part", F.when(F.col(split) == TEST, 1).otherwise(0))
-    rows = _windowed(ranked, features, length, list(keys), ["_part", *order])
+    rows = windowed(ranked, features, length, list(keys), ["_part", *order], bounded)
     padded = F.concat(
         zero_rows(F.lit(length) - F.size("window"), len(features)), F.col("window"))
     return rows.filter(F.col(split) == TEST).withColumn("window", padded).drop("_part")
@@ -156,7 +158,7 @@ def border_windows(
     )
     needed = chosen.groupBy(project).agg(F.max("position").alias("_last"))
     kept = rows.join(needed, project).filter(F.col("position") <= F.col("_last")).drop("_last")
-    windows = train_windows(kept, features, length, [project], ["position"])
+    windows = train_windows(kept, features, length, [project], ["position"], bounded=True)
     return windows.withColumn("target", border_rows(F.col("window")))
 
 
