@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import METRICS, SCORE_WEIGHTS
-from .timeline import Timeline, exact_quantiles
+from .timeline import Timeline, any_hot, exact_quantiles
 
 KEYS = ["proj", "exp", "iter"]
 _TINY = 1e-10  # fixed value: keeps F1 defined where precision and recall are 0
@@ -26,6 +26,13 @@ def sweep(df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     keys = list(keys)
     groups = df.groupBy(*keys, "p").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
+    if not any_hot(df, keys):
+        # few enough scores per key for one task: totals share the sort's exchange
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+        return groups.select(
+            "*", F.sum("pos").over(upto).alias("tp"), F.sum("n").over(upto).alias("seen"),
+            F.sum("pos").over(whole).alias("pos_all"), F.sum("n").over(whole).alias("n_all"))
     at = keys or ["_all"]
     if not keys:
         groups = groups.withColumn("_all", F.lit(1))

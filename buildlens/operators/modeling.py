@@ -394,15 +394,17 @@ def fit_window_classifier(
     inputs = length * len(features)
     train = rows.filter(F.col("part") == S.TRAIN)
     model = _learner(algorithm, params, inputs).fit(train)
-    scored = _probability(model, rows).select("part", F.col("label").cast("int").alias("y"), "p")
-    held = scored.filter(F.col("part") == "validation")
-    loss = held.agg(log_loss().alias("loss")).first()["loss"]
-    entry = E.metric_entries(scored.filter(F.col("part") == S.TRAIN), []).first()
-    tuned = E.best_threshold(held, "f1", keys=[]).first()
-    cut.unpersist()
-    return WindowModel(
-        model, features, length, tuned["threshold"] if tuned else entry["threshold"],
-        entry.asDict(), float("inf") if loss is None else loss)
+    scored = _probability(model, rows).select(
+        "part", F.col("label").cast("int").alias("y"), "p").persist()
+    losses = scored.groupBy("part").agg(log_loss().alias("loss"))
+    # two rows: the training metrics, and the threshold that is best on the rest
+    report = {r["part"]: r.asDict() for r in
+              E.metric_entries(scored, ["part"]).join(losses, "part").collect()}
+    for frame in (cut, scored):
+        frame.unpersist()
+    entry = {k: v for k, v in report[S.TRAIN].items() if k not in ("part", "loss")}
+    held = report.get("validation", {"threshold": entry["threshold"], "loss": float("inf")})
+    return WindowModel(model, features, length, held["threshold"], entry, held["loss"])
 
 
 def _probability(model: Model, rows: DataFrame) -> DataFrame:

@@ -49,6 +49,12 @@ def _key_known(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def any_hot(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> bool:
+    """Whether a key has more rows than one task should hold (one cheap count)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.filter(F.col("_n") > hot_rows_of(df, hot_rows)).isEmpty()
+
+
 def _cut_table(df: DataFrame, keys: list[str], order: list[str], hot_rows: int):
     """(keys, _cuts) for keys with more than ``hot_rows`` rows, or None."""
     sizes = (
