@@ -27,10 +27,13 @@ def minority(df: DataFrame, keys: list[str], label: str = LABEL) -> DataFrame:
         small.alias("_size"), (F.greatest("_zero", "_one") - small).alias("_missing"))
 
 
-def _minority_rows(df: DataFrame, keys: list[str], vector: str, ident: str, label: str):
+def _minority_rows(
+    df: DataFrame, keys: list[str], vector: str, ident: str, label: str, bounded: bool
+) -> DataFrame:
     small = minority(df, keys, label)
     rows = df.join(small, keys).filter(F.col(label) == F.col("_minority"))
-    line = Timeline.of(rows.select(*keys, ident, vector, "_size", "_missing"), keys, [ident])
+    rows = rows.select(*keys, ident, vector, "_size", "_missing")
+    line = Timeline.of(rows, keys, [ident], bounded=bounded)
     return line.position("_nth").frame()
 
 
@@ -62,17 +65,18 @@ def _nearest(k: int, n_keys: int):
 
 def minority_knn(
     df: DataFrame, keys: Iterable[str], vector: str, ident: str, label: str = LABEL, k: int = 5,
-    block: int = BLOCK,
+    block: int = BLOCK, bounded: bool = False,
 ) -> DataFrame:
     """(keys, id, neighbours): the k nearest minority rows of each minority row.
 
     Rows of a key are cut into blocks and every pair of blocks is one task's
     work, which only keeps the k best of each row. The result is exact for
     any key size, no task holds more than two blocks, and no pairs of rows
-    are written out.
+    are written out. ``bounded`` says that keys are small by construction.
     """
     keys = list(keys)
-    return _knn_of(_minority_rows(df, keys, vector, ident, label), keys, vector, ident, k, block)
+    rows = _minority_rows(df, keys, vector, ident, label, bounded)
+    return _knn_of(rows, keys, vector, ident, k, block)
 
 
 def _knn_of(
@@ -105,7 +109,7 @@ def _knn_of(
 
 def smote_balance(
     df: DataFrame, keys: Iterable[str], vector: str, ident: str, label: str = LABEL, k: int = 5,
-    seed: int = 42, enabled: bool = True, block: int = BLOCK,
+    seed: int = 42, enabled: bool = True, block: int = BLOCK, bounded: bool = False,
 ) -> DataFrame:
     """(keys, id, vector, label, synthetic): the rows of each key and enough
     synthetic minority rows to reach parity.
@@ -120,7 +124,7 @@ def smote_balance(
         F.col(label).cast("int").alias("label"), F.lit(0).alias("synthetic"))
     if not enabled:
         return real
-    bases = _minority_rows(df, keys, vector, ident, label)
+    bases = _minority_rows(df, keys, vector, ident, label, bounded)
     # bases take turns: row i of m makes one synthetic row per round it is in
     turns = F.floor((F.col("_missing") - F.col("_nth")) / F.col("_size")) + 1
     labels = minority(df, keys, label).select(*keys, "_minority")
@@ -164,7 +168,7 @@ def pad_short(
 
 def smote_windows(
     df: DataFrame, keys: Iterable[str], vector: str, ident: str, length: int, label: str = LABEL,
-    k: int = 5, seed: int = 42,
+    k: int = 5, seed: int = 42, bounded: bool = False,
 ) -> DataFrame:
     """Training windows over a rebalanced sequence: real rows, then synthetic ones.
 
@@ -173,7 +177,7 @@ def smote_windows(
     """
     keys = list(keys)
     padded = pad_short(df, keys, vector, ident, label, length)
-    balanced = smote_balance(padded, keys, vector, ident, label, k, seed)
-    line = Timeline.of(balanced, keys, ["synthetic", "id"])
+    balanced = smote_balance(padded, keys, vector, ident, label, k, seed, bounded=bounded)
+    line = Timeline.of(balanced, keys, ["synthetic", "id"], bounded=bounded)
     rows = line.history("window", F.col("vector"), length).frame()
     return rows.filter(F.size("window") == length).select(*keys, "id", "synthetic", "label", "window")

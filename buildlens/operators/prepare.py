@@ -114,8 +114,17 @@ def project_mode(df: DataFrame, column: str, project: str = PROJECT) -> DataFram
     return counts.groupBy(project).agg(best.alias(f"{column}__fill"))
 
 
-def project_median(df: DataFrame, column: str, project: str = PROJECT) -> DataFrame:
-    return exact_quantiles(df, [project], column, [0.5], [f"{column}__fill"])
+def project_medians(
+    df: DataFrame, columns: Iterable[str], project: str = PROJECT
+) -> DataFrame:
+    """Exact medians of several columns per project, in one pass."""
+    columns = list(columns)
+    long = df.select(project, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [project], columns, "_column", "_value")
+    medians = exact_quantiles(long, [project, "_column"], "_value", [0.5], ["_median"])
+    return medians.groupBy(project).agg(*[
+        F.max(F.when(F.col("_column") == c, F.col("_median"))).alias(f"{c}__fill")
+        for c in columns])
 
 
 def _fill(df: DataFrame, fills: list[DataFrame], defaults: dict, project: str) -> DataFrame:
@@ -147,7 +156,7 @@ def impute_median(
     df: DataFrame, defaults: dict[str, float] | None = None, project: str = PROJECT
 ) -> DataFrame:
     defaults = {c: d for c, d in (defaults or MEDIAN_FILLED).items() if c in df.columns}
-    return _fill(df, [project_median(df, c, project) for c in defaults], defaults, project)
+    return _fill(df, [project_medians(df, defaults, project)], defaults, project)
 
 
 def impute_interpolate(
@@ -183,7 +192,7 @@ def impute(df: DataFrame, project: str = PROJECT, line: Timeline | None = None)
     medians = {c: d for c, d in MEDIAN_FILLED.items() if c in df.columns}
     fills = [project_mode(df, COMMITTER, project)]
     fills += [project_means(df, means, project)] if means else []
-    fills += [project_median(df, c, project) for c in medians]
+    fills += [project_medians(df, medians, project)] if medians else []
     flag = 0.0 if isinstance(df.schema[COMMITTER].dataType, T.NumericType) else "0"
     ordered = interpolate(line, "tr_duration").frame() if "tr_duration" in df.columns else df
     filled = _fill(

@@ -388,11 +388,18 @@ def exact_quantiles(
     names: list[str],
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Interpolated quantiles per key without one task holding the key's values.
+    """Interpolated quantiles per key without one task holding a large key's values.
 
-    Equal values are counted first (combined on the map side), then running
-    counts locate the wanted positions.
+    The built-in percentile keeps a key's distinct values in memory, which is
+    fine up to the size that is checked here. For larger keys equal values are
+    counted first (combined on the map side), then running counts locate the
+    wanted positions.
     """
+    if not any_hot(df, keys, hot_rows):
+        found = df.groupBy(*keys).agg(
+            F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(f)) for f in fractions]))
+            .alias("_q")).filter(F.col("_q").isNotNull())
+        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))

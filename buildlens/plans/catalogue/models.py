@@ -170,7 +170,8 @@ _DISTANCE = " + ".join(f"(l.x{i} - r.x{i}) ^ 2" for i in range(len(_KNN_FEATURES
             PARTITION BY gh_project_name, fold, id ORDER BY distance, neighbour) AS k FROM d)
     WHERE k <= 5""", b=_BASE))
 def minority_knn(spark, sf_dir):
-    df = B.minority_knn(_fold_vectors(spark, sf_dir), [PROJECT, "fold"], "vector", "tr_build_id")
+    df = B.minority_knn(
+        _fold_vectors(spark, sf_dir), [PROJECT, "fold"], "vector", "tr_build_id", bounded=True)
     long = df.select(PROJECT, "fold", "id", F.posexplode("neighbours").alias("_i", "_n"))
     return long.select(
         PROJECT, "fold", "id", (F.col("_i") + 1).alias("place"), "_n.neighbour",
@@ -185,7 +186,8 @@ def minority_knn(spark, sf_dir):
     WHERE (one > 0 AND zero > 0) OR (l = 1 AND one > 0) OR (l = 0 AND zero > 0)""", b=_BASE))
 def smote_balance(spark, sf_dir):
     """Class sizes of every fold's training set after balancing."""
-    df = B.smote_balance(_fold_vectors(spark, sf_dir), [PROJECT, "fold"], "vector", "tr_build_id")
+    df = B.smote_balance(
+        _fold_vectors(spark, sf_dir), [PROJECT, "fold"], "vector", "tr_build_id", bounded=True)
     # reading the vectors makes the interpolation part of the work
     known = df.filter(F.forall("vector", lambda v: v.isNotNull()))
     return known.groupBy(PROJECT, "fold", "label").agg(F.count(F.lit(1)).alias("rows"))
@@ -196,7 +198,8 @@ def smote_balance(spark, sf_dir):
         ELSE one + zero END - {LENGTH} AS windows FROM z""", b=_BASE))
 def smote_windows(spark, sf_dir):
     rows = _fold_vectors(spark, sf_dir).withColumn("position", F.col("position") + 1)
-    df = B.smote_windows(rows, [PROJECT, "fold"], "vector", "position", LENGTH)
+    df = B.smote_windows(
+        rows, [PROJECT, "fold"], "vector", "position", LENGTH, bounded=True)
     return df.groupBy(PROJECT, "fold").agg(F.count(F.lit(1)).alias("windows"))
 
 

@@ -163,6 +163,34 @@ def impute_interpolate(spark, sf_dir):
     return df.select("tr_build_id", r6("tr_duration"))
 
 
+_IMPUTED = _INTERPOLATED.format(o=ORDER).split("SELECT tr_build_id")[0]
+
+
+@query("impute_all", _on_builds(_IMPUTED + """
+    , m AS (SELECT gh_project_name AS g, gh_by_core_team_member AS v, row_number() OVER (
+        PARTITION BY gh_project_name ORDER BY count(*) DESC, gh_by_core_team_member) AS r
+        FROM b WHERE gh_by_core_team_member IS NOT NULL GROUP BY 1, 2)
+    SELECT tr_build_id, round(coalesce(tr_duration,
+            CASE WHEN pi IS NOT NULL AND qi IS NOT NULL
+                THEN pv + (qv - pv) / (qi - pi) * (i - pi) END, pv, qv, 0), 6) AS tr_duration,
+        coalesce(gh_by_core_team_member, m.v, 0) AS gh_by_core_team_member,
+        round(coalesce(gh_test_lines_per_kloc, avg(gh_test_lines_per_kloc) OVER w, 0), 6)
+            AS gh_test_lines_per_kloc,
+        round(coalesce(gh_team_size, median(gh_team_size) OVER w, 1), 6) AS gh_team_size,
+        round(coalesce(gh_sloc, median(gh_sloc) OVER w, 0), 6) AS gh_sloc,
+        coalesce(git_diff_src_churn, 0) AS git_diff_src_churn,
+        coalesce(gh_diff_files_modified, 0) AS gh_diff_files_modified
+    FROM s LEFT JOIN m ON s.gh_project_name = m.g AND r = 1
+    WINDOW w AS (PARTITION BY gh_project_name)"""))
+def impute_all(spark, sf_dir):
+    """Every imputation rule at once."""
+    df = P.impute(X.labelled(spark, sf_dir).drop("tr_log_num_tests_failed"))
+    return df.select(
+        "tr_build_id", r6("tr_duration"), "gh_by_core_team_member",
+        r6("gh_test_lines_per_kloc"), r6("gh_team_size"), r6("gh_sloc"), "git_diff_src_churn",
+        "gh_diff_files_modified")
+
+
 @query("build_features", _on_builds(f"""
     , base AS (SELECT * FROM b WHERE build_failed IS NOT NULL)
     SELECT tr_build_id,
