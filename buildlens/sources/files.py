@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -22,11 +22,18 @@ _MAX_HEADERS = 1_000
 
 # -- listing and headers ------------------------------------------------------
 def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """(path, folder, file) of every matching file; contents are not read."""
-    listed = (
+    """(path, folder, file) of every matching file; contents are not read.
+
+    The names come from Spark's own (parallel) listing. A scan would leave out
+    files of length 0, which have to be reported.
+    """
+    found = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true").load(folder).select("path")
+        .option("recursiveFileLookup", "true").load(folder).inputFiles()
     )
+    names = [(unquote(path),) for path in found]
+    listed = spark.createDataFrame(names, "path string").repartition(
+        min(max(len(names), 1), 1_000))
     parts = F.split("path", "/")
     return listed.select(
         "path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"))
@@ -40,8 +47,8 @@ def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         headers, errors = [], []
         for path in batch["path"]:
             scheme, _, rest = path.partition(":")
-            uri = f"{scheme}://{quote(rest)}" if not rest.startswith("//") else \
-                f"{scheme}:{quote(rest)}"
+            # file:/x and file:///x name the same file
+            uri = f"{scheme}:{'' if rest.startswith('//') else '//'}{quote(rest)}"
             try:
                 system, inner = fs.FileSystem.from_uri(uri)
                 with system.open_input_stream(inner) as stream:
