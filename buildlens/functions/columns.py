@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,3 +94,12 @@ def to_label(probability: Column, threshold) -> Column:
 def safe_ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where it is undefined."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def only_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct, usable in another frame.
+
+    A scalar subquery: it is run once and its value handed to every task, so
+    nothing is joined.
+    """
+    return df.select(F.struct(*df.columns)).scalar()

@@ -42,10 +42,9 @@ def label_encode(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with codes, dictionary)."""
     columns = list(columns)
-    dictionary = label_dictionary(df, columns, project)
     encoded = df.filter(F.col(project).isNotNull())
     for c in columns:
-        codes = dictionary.filter(F.col("column") == c).select(
+        codes = label_dictionary(df, [c], project).select(
             project, F.col("value").alias("_text"), F.col("code").alias("_code"))
         encoded = (
             encoded.withColumn("_text", _as_text(c))
@@ -53,7 +52,7 @@ def label_encode(
             .withColumn(c, F.col("_code"))
             .drop("_text", "_code")
         )
-    return encoded.select(*df.columns), dictionary
+    return encoded.select(*df.columns), label_dictionary(df, columns, project)
 
 
 def minmax_table(df: DataFrame, columns: Iterable[str], project: str = PROJECT) -> DataFrame:
@@ -126,18 +125,21 @@ def fit_standard_scale(
     scaled = [c for c in checked if c not in binary]
     moments = [a for c in scaled for a in (
         F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"))]
-    return StandardScale(scaled, one_hot + binary, df.agg(*moments))
+    table = df.agg(*moments) if moments else df.agg(F.count(F.lit(1)).alias("rows"))
+    return StandardScale(scaled, one_hot + binary, table)
 
 
 def apply_standard_scale(df: DataFrame, scale: StandardScale) -> DataFrame:
     """Scaled columns first, then the flags, after any other columns."""
     def scaled(c: str) -> Column:
-        sd = F.col(f"{c}_sd")
-        return ((F.col(c) - F.col(f"{c}_mean")) / F.when(sd > 0, sd).otherwise(F.lit(1.0))).alias(c)
+        sd = fitted[f"{c}_sd"]
+        return ((F.col(c) - fitted[f"{c}_mean"]) / F.when(sd > 0, sd).otherwise(F.lit(1.0))).alias(c)
 
     rest = [c for c in df.columns if c not in scale.scaled and c not in scale.untouched]
-    joined = df.join(F.broadcast(scale.table))  # one row
-    return joined.select(*rest, *[scaled(c) for c in scale.scaled], *scale.untouched)
+    if not scale.scaled:
+        return df.select(*rest, *scale.untouched)
+    fitted = C.only_row(scale.table)
+    return df.select(*rest, *[scaled(c) for c in scale.scaled], *scale.untouched)
 
 
 def standard_scale(

@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..schema import LABEL
 from .encode import standard_scale
 
@@ -81,11 +82,11 @@ def svc_importance(df: DataFrame, features: list[str], label: str = LABEL) -> Da
 
 def normalise_importance(importance: DataFrame) -> DataFrame:
     """Importance on a 0-1 scale; all equal gives 1."""
-    bounds = importance.agg(F.min("Importance").alias("_lo"), F.max("Importance").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    scaled = F.when(width > 0, (F.col("Importance") - F.col("_lo")) / width).otherwise(1.0)
-    # one row of bounds
-    return importance.join(F.broadcast(bounds)).withColumn("Importance", scaled).drop("_lo", "_hi")
+    bounds = C.only_row(
+        importance.agg(F.min("Importance").alias("lo"), F.max("Importance").alias("hi")))
+    width = bounds["hi"] - bounds["lo"]
+    scaled = F.when(width > 0, (F.col("Importance") - bounds["lo"]) / width).otherwise(1.0)
+    return importance.withColumn("Importance", scaled)
 
 
 def importance_join(rf: DataFrame, logistic: DataFrame, svc: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..schema import LABEL, METRICS, PROJECT, STARTED, TIME_ORDER
 from . import evaluate as E
 from . import profile as A
@@ -348,11 +349,11 @@ class WindowModel:
 
 
 def _weighted(windows: DataFrame, label: str, balance: str) -> DataFrame:
-    weights = A.class_weights(windows, [], label)  # one row
-    weight = F.when(F.col(label) == 1, F.col("weight_1")).otherwise(F.col("weight_0"))
-    rows = windows.join(F.broadcast(weights)).withColumn(
-        "weight", weight if balance == "weights" else F.lit(1.0))
-    return rows.drop("weight_0", "weight_1")
+    if balance != "weights":
+        return windows.withColumn("weight", F.lit(1.0))
+    weights = C.only_row(A.class_weights(windows, [], label))
+    weight = F.when(F.col(label) == 1, weights["weight_1"]).otherwise(weights["weight_0"])
+    return windows.withColumn("weight", weight)
 
 
 def _learner(algorithm: str, params: Params, inputs: int):
@@ -466,10 +467,12 @@ def target_windows(
         f for f in features if f not in (LABEL, "tr_build_id", "tr_job_id")]]
     others = R.other_projects(df, bellwether.select(PROJECT).limit(1))
     test = others.select(PROJECT, *columns, F.lit(S.TEST).alias("split"))
-    context = context_rows(bellwether, length, TIME_ORDER).select(*columns)
+    context = context_rows(bellwether, length, TIME_ORDER).agg(
+        F.collect_list(F.struct(*columns)).alias("rows"))
     # length rows for each project
-    train = others.select(PROJECT).distinct().join(F.broadcast(context)).select(
-        PROJECT, *columns, F.lit(S.TRAIN).alias("split"))
+    train = others.select(PROJECT).distinct().select(
+        PROJECT, F.explode(C.only_row(context)["rows"]).alias("_row")).select(
+        PROJECT, "_row.*", F.lit(S.TRAIN).alias("split"))
     return S.test_windows(train.union(test), features, length)
 
 

@@ -114,12 +114,9 @@ def null_columns(df: DataFrame) -> DataFrame:
 def nulls_per_row_histogram(df: DataFrame) -> DataFrame:
     nulls = sum((_is_null(c) for c in df.columns), F.lit(0))
     counts = df.groupBy(nulls.alias("nan_columns")).agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.agg(F.sum("rows").alias("_total"))
-    return (
-        counts.join(F.broadcast(total))  # one row
-        .select("nan_columns", "rows", C.percent(F.col("rows"), F.col("_total")).alias("ratio_pct"))
-        .orderBy("nan_columns")
-    )
+    total = counts.agg(F.sum("rows").alias("total"))
+    share = C.percent(F.col("rows"), C.only_row(total)["total"])
+    return counts.select("nan_columns", "rows", share.alias("ratio_pct")).orderBy("nan_columns")
 
 
 def class_distribution(df: DataFrame, keys: Iterable[str], label: str = LABEL) -> DataFrame:

@@ -8,6 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..schema import FEATURE_GROUPS, LABEL, PROJECT, TIME_ORDER
 from .timeline import Timeline
 
@@ -167,16 +168,17 @@ def scale_targets(df: DataFrame, width: int, vector: str = "target") -> DataFram
 
     Adds ``low`` and ``high``, the fitted bounds, from one aggregate row.
     """
-    bounds = df.agg(
+    bounds = C.only_row(df.agg(
         F.array(*[F.min(F.get(vector, F.lit(i))) for i in range(width)]).alias("low"),
         F.array(*[F.max(F.get(vector, F.lit(i))) for i in range(width)]).alias("high"),
-    )
+    ))
 
     def scale(value: Column, i: Column) -> Column:
         low, high = F.get("low", i), F.get("high", i)
         return (value - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))
 
-    return df.join(F.broadcast(bounds)).withColumn(vector, F.transform(vector, scale))
+    bounded = df.withColumns({"low": bounds["low"], "high": bounds["high"]})
+    return bounded.withColumn(vector, F.transform(vector, scale))
 
 
 def border_targets(

@@ -33,7 +33,7 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFra
     )
     names = [(unquote(path),) for path in found]
     listed = spark.createDataFrame(names, "path string").repartition(
-        min(max(len(names), 1), 1_000))
+        min(max(len(names) // 8, 1), 1_000))
     parts = F.split("path", "/")
     return listed.select(
         "path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"))
