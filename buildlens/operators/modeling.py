@@ -122,8 +122,11 @@ def search(
         tried = [Candidate(g, 1, dict(DEFAULT)) for g in groups]
         evaluate(tried)
     elif strategy in ("random", "rs"):
-        tried = [Candidate(g, i + 1, draw(space, rng))
-                 for g in groups for i in range(EVALUATIONS)]
+        tried = []
+        for g in groups:
+            draws = {tuple(p.items()): p for p in (draw(space, rng) for _ in range(EVALUATIONS))}
+            # equal draws are fitted once
+            tried += [Candidate(g, i + 1, p) for i, p in enumerate(draws.values())]
         evaluate(tried)
     elif strategy in ("genetic", "ga"):
         settings = check_genetic(genetic or {})

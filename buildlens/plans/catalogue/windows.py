@@ -8,6 +8,7 @@ from ...operators import history as H
 from ...operators import prepare as P
 from ...schema import LABEL, MEAN_FILLED, PROJECT, ZERO_FILLED
 from .. import fixtures as X
+from ..flows import build_table as build_features_flow
 from .registry import query, r6, with_views
 
 ORDER = "gh_build_started_at, tr_build_id, tr_job_id"
@@ -230,3 +231,39 @@ def build_features(spark, sf_dir):
              "day_week", "same_committer", "prev_build_result", "comm_avg_experience",
              "num_distinct_authors", "num_files_edited", "no_config_edited"]
     return df.select(*plain, *[r6(c) for c in rates])
+
+
+_SCALED_COLUMNS = ["tr_duration", "proj_fail_rate_recent", "elapsed_days_last_build"]
+
+
+@query("build_table", with_views(f"""
+    , s AS (SELECT *, last_value(CASE WHEN tr_duration IS NOT NULL THEN i END IGNORE NULLS) OVER p
+            AS pi, last_value(tr_duration IGNORE NULLS) OVER p AS pv,
+        last_value(CASE WHEN tr_duration IS NOT NULL THEN i END IGNORE NULLS) OVER q AS qi,
+        last_value(tr_duration IGNORE NULLS) OVER q AS qv FROM n
+        WINDOW p AS (PARTITION BY gh_project_name ORDER BY i
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+            q AS (PARTITION BY gh_project_name ORDER BY i DESC
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    f AS (SELECT tr_build_id, gh_project_name, build_failed,
+        coalesce(tr_duration, CASE WHEN pi IS NOT NULL AND qi IS NOT NULL
+            THEN pv + (qv - pv) / (qi - pi) * (i - pi) END, pv, qv, 0) AS tr_duration,
+        avg(build_failed) OVER (PARTITION BY gh_project_name ORDER BY i
+            ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS proj_fail_rate_recent,
+        coalesce((epoch_us(gh_build_started_at) - lag(epoch_us(gh_build_started_at))
+            OVER (PARTITION BY gh_project_name ORDER BY i)) / 86400000000.0, 0)
+            AS elapsed_days_last_build FROM s)
+    SELECT tr_build_id, gh_project_name, build_failed, """ + ", ".join(
+        f"""round(({c} - min({c}) OVER g) / CASE WHEN max({c}) OVER g > min({c}) OVER g
+            THEN max({c}) OVER g - min({c}) OVER g ELSE 1 END, 6) AS {c}"""
+        for c in _SCALED_COLUMNS) + " FROM f WINDOW g AS (PARTITION BY gh_project_name)",
+    b=X.LABELLED_SQL + " WHERE event_type <> 'signup'",
+    k="""SELECT gh_project_name FROM b GROUP BY 1
+        HAVING greatest(avg(build_failed), avg(1 - build_failed)) <= 0.7
+        ORDER BY count(*) DESC, gh_project_name LIMIT 8""",
+    n=f"""SELECT *, row_number() OVER (PARTITION BY gh_project_name ORDER BY {ORDER}) AS i
+        FROM b WHERE gh_project_name IN (SELECT gh_project_name FROM k)"""))
+def build_table(spark, sf_dir):
+    """The whole preparation: select, impute, add features, merge jobs, scale."""
+    df = build_features_flow(X.builds(spark, sf_dir), min_rows=10, balance=0.7, top=8)
+    return df.select("tr_build_id", PROJECT, LABEL, *[r6(c) for c in _SCALED_COLUMNS])
