@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import LABEL, METRICS, PROJECT, STARTED, TIME_ORDER
+from ..session import checkpointed
 from . import evaluate as E
 from . import profile as A
 from . import rank as R
@@ -297,7 +298,7 @@ def online_validation(
     chosen = R.select_projects(df, R.top_datasets(df, top), top)
     longest = max([*space["time_step"], DEFAULT["time_step"] if strategy == "default" else 0])
     # at most top x n_folds x 1.2 window rows; used by every round
-    windows = fold_windows(chosen, features, longest, n_folds, window, step).checkpoint()
+    windows = checkpointed(fold_windows(chosen, features, longest, n_folds, window, step))
     folds = [tuple(r) for r in
              windows.select("proj", "exp").distinct().orderBy("proj", "exp").collect()]
     groups = [(*fold, i + 1) for fold in folds for i in range(repeats)]
@@ -307,7 +308,7 @@ def online_validation(
 
     def evaluate(candidates: list[Candidate]) -> None:
         if candidates:
-            scored = score_folds(windows, candidates, len(features), seed).checkpoint()
+            scored = checkpointed(score_folds(windows, candidates, len(features), seed))
             _judge(scored, candidates)
             rounds.append(scored)
 
@@ -319,7 +320,7 @@ def online_validation(
     scored = A.union_all_by_name(*rounds).join(
         F.broadcast(winners.select(*_CANDIDATE)), _CANDIDATE, "left_semi")
     entries = _entries(scored, threshold_from).withColumn("algo", F.lit(model_name))
-    passed = E.metric_gate(entries, GATE_LIMIT).checkpoint()
+    passed = checkpointed(E.metric_gate(entries, GATE_LIMIT))
     return OnlineResult(
         candidates=candidate_table(spark, tried),
         entries=passed,
@@ -546,8 +547,8 @@ def adapted_validation(
             "proj", F.lit(1).alias("exp"), F.lit(1).alias("iter"),
             F.col("label").cast("int").alias("y"), "p"))
     entries = E.metric_gate(
-        E.metric_entries(A.union_all_by_name(*scored), pr_area="trapezoid"), limit).persist()
-    entries.count()
+        E.metric_entries(A.union_all_by_name(*scored), pr_area="trapezoid"), limit)
+    entries = checkpointed(entries)
     cut.unpersist()
     return entries, R.bellwether(entries)
 
@@ -624,7 +625,7 @@ def border_reconstruction(
         test = rows.join(F.broadcast(cut), [PROJECT, "position"], "left_semi")
         train = rows.join(F.broadcast(cut), [PROJECT, "position"], "left_anti")
         weights = _linear_map(train, length * len(features), len(names))
-        predicted = _predict_border(test, weights, names).checkpoint()
+        predicted = checkpointed(_predict_border(test, weights, names))
         card = E.regression_scorecard(predicted)
         if card.first()["R2"] > r2_goal:
             break

@@ -27,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Session setting: most rows of one key that may share a task.
 HOT_ROWS_SETTING = "buildlens.hotRows"
 HOT_ROWS = 5_000_000
@@ -138,6 +140,8 @@ class Timeline:
             slice_id = F.when(_key_known(keys), F.lit(0)).otherwise(spread)
             rows = df.withColumn(SLICE, slice_id)
             return cls(rows, rows, keys, order, split=False)
+        # small (see MAX_SLICES) and used by every branch below
+        cuts = checkpointed(cuts)
         slice_id = F.when(_key_known(keys), _slice_of(order)).otherwise(spread)
 
         def cut(frame: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import prepare as P
 from ..operators import profile as A
 from ..operators import rank as R
 from ..schema import COMMITTER, PERIODS, SCALED
+from ..session import checkpointed
 from ..sources import files
 
 #: Tells the label away, so it is left out of the features.
@@ -44,7 +45,7 @@ def build_table(
     features read them several times, and a lost executor does not repeat
     the imputation.
     """
-    cleaned = clean_jobs(jobs, **selection).checkpoint()
+    cleaned = checkpointed(clean_jobs(jobs, **selection))
     builds = A.distinct_rows(A.jobs_to_builds(H.add_build_features(cleaned)))
     if categorical:
         builds, _ = N.label_encode(builds, categorical)
@@ -60,7 +61,7 @@ def rank_and_save(
 
     The three models read the table many times, so it is materialised first.
     """
-    builds = builds.checkpoint()
+    builds = checkpointed(builds)
     _, features, _ = P.select_numeric_features(builds)
     features = [f for f in features if f != "tr_build_id"]
     importance = I.aggregate_importance(builds, features, trees=trees)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -26,14 +26,24 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the folder that the cluster shares for checkpoints.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints.
 
     Only a session that names no such folder (a test) gets a temporary one.
     """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="buildlens-"))
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/buildlens/{label}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="buildlens-"))
+    return named or context.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/buildlens/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read from there ever after."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
