@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import LABEL
+from ..session import checkpointed
 from .timeline import Timeline
 
 BLOCK = 2_000
@@ -32,7 +33,7 @@ def _minority_rows(
 ) -> DataFrame:
     small = minority(df, keys, label)
     rows = df.join(small, keys).filter(F.col(label) == F.col("_minority"))
-    rows = rows.select(*keys, ident, vector, "_size", "_missing")
+    rows = rows.select(*keys, ident, vector, "_minority", "_size", "_missing")
     line = Timeline.of(rows, keys, [ident], bounded=bounded)
     return line.position("_nth").frame()
 
@@ -124,13 +125,13 @@ def smote_balance(
         F.col(label).cast("int").alias("label"), F.lit(0).alias("synthetic"))
     if not enabled:
         return real
-    bases = _minority_rows(df, keys, vector, ident, label, bounded)
+    # read three times below; written once, so that the input is not
+    bases = checkpointed(_minority_rows(df, keys, vector, ident, label, bounded))
     # bases take turns: row i of m makes one synthetic row per round it is in
     turns = F.floor((F.col("_missing") - F.col("_nth")) / F.col("_size")) + 1
-    labels = minority(df, keys, label).select(*keys, "_minority")
     made = (
         bases.filter(turns > 0)
-        .select(*keys, F.col(ident).alias("id"), F.col(vector).alias("_base"),
+        .select(*keys, F.col(ident).alias("id"), F.col(vector).alias("_base"), "_minority",
                 F.explode(F.sequence(F.lit(1).cast("long"), turns)).alias("_turn"))
         .join(_knn_of(bases, keys, vector, ident, k, block), [*keys, "id"], "left")
     )
@@ -139,11 +140,11 @@ def smote_balance(
     pick = F.when(count > 0, F.get("neighbours", F.pmod(draw, count).cast("int"))["neighbour"])
     share = F.pmod(F.xxhash64("id", "_turn", F.lit(seed + 1)), F.lit(1_000_000)) / F.lit(1e6)
     made = made.select(
-        *keys, "id", "_turn", "_base", F.coalesce(pick, F.col("id")).alias("_pick"),
+        *keys, "id", "_turn", "_base", "_minority", F.coalesce(pick, F.col("id")).alias("_pick"),
         share.alias("_share"))
     others = bases.select(*keys, F.col(ident).alias("_pick"), F.col(vector).alias("_near"))
     between = F.zip_with("_base", "_near", lambda a, b: a + F.col("_share") * (b - a))
-    synthetic = made.join(others, [*keys, "_pick"]).join(labels, keys).select(
+    synthetic = made.join(others, [*keys, "_pick"]).select(
         *keys, "id", between.alias("vector"), F.col("_minority").alias("label"),
         F.col("_turn").cast("int").alias("synthetic"))
     return real.union(synthetic)
