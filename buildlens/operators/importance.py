@@ -60,14 +60,16 @@ def logistic_importance(df: DataFrame, features: list[str], label: str = LABEL)
     return _table(df, names, abs(model.coefficientMatrix.toArray()[0]))
 
 
-def svc_importance(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
+def svc_importance(
+    df: DataFrame, features: list[str], label: str = LABEL, max_iter: int = 1000
+) -> DataFrame:
     """Absolute coefficients of a linear SVM, the mean over classes if several.
 
     The loss is the plain hinge: compare ranks with other libraries, not values.
     """
     scaled, names = _scaled(df, features, label)
     data = _assembled(scaled, names, "_y").persist()
-    svc = LinearSVC(featuresCol="_features", labelCol="_label", maxIter=1000,
+    svc = LinearSVC(featuresCol="_features", labelCol="_label", maxIter=max_iter,
                     tol=1e-4, standardization=False, regParam=1.0 / max(data.count(), 1))
     classes = data.select("_label").distinct().count()
     if classes > 2:
@@ -114,9 +116,10 @@ def combine_importance(rf: DataFrame, logistic: DataFrame, svc: DataFrame) -> Da
 
 
 def aggregate_importance(
-    df: DataFrame, features: list[str], label: str = LABEL, trees: int = 100
+    df: DataFrame, features: list[str], label: str = LABEL, trees: int = 100,
+    max_iter: int = 1000,
 ) -> DataFrame:
     """All three models on one table, joined and averaged."""
     return combine_importance(
         rf_importance(df, features, label, trees), logistic_importance(df, features, label),
-        svc_importance(df, features, label))
+        svc_importance(df, features, label, max_iter))

@@ -93,6 +93,8 @@ MESSAGES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the tables hold times without a zone; both engines read them as UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -112,7 +112,7 @@ def test_border_reconstruction_is_exact_for_a_linear_map(separable):
 
 def test_importance_ranks_the_signal_first(separable):
     lagged = separable.withColumn("hint", F.col("build_failed") + F.col("noise") / 4)
-    table = I.aggregate_importance(lagged, ["hint", "noise"], trees=5).collect()
+    table = I.aggregate_importance(lagged, ["hint", "noise"], trees=5, max_iter=30).collect()
     assert table[0]["Feature"] == "hint" and table[0]["Average_Importance"] > 0.9
 
 
