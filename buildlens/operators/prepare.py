@@ -180,7 +180,8 @@ def interpolate(line: Timeline, column: str) -> Timeline:
         past["v"] + slope * (F.col("_at") - past["at"]),
         past["v"],
         coming["v"],
-        F.lit(0.0),
+        # rows without a project stay as they are
+        F.when(F.col("_at").isNotNull(), F.lit(0.0)),
     )
     return line.map(lambda rows: rows.withColumn(column, value).drop("_at", "_past", "_next"))
 

@@ -375,7 +375,7 @@ class Timeline:
                 before: F.coalesce(before, "_pastv"),
                 after: F.coalesce(after, "_nextv"),
             }).drop("_pastv", "_nextv")
-        return self._with(rows)
+        return self._with(rows.withColumns({c: self._known(F.col(c)) for c in (before, after)}))
 
 
 def _last(array: Column, count: Column) -> Column:

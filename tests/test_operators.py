@@ -67,6 +67,13 @@ def test_interpolation(spark, values, want):
     assert column(P.impute_interpolate(builds(spark, values)), "tr_duration") == want
 
 
+def test_rows_without_a_project_are_counted_and_not_filled(spark):
+    df = builds(spark, [1.0, None, 3.0]).withColumn("gh_project_name", F.lit(None).cast("string"))
+    assert column(P.impute_interpolate(df), "tr_duration") == [1.0, None, 3.0]
+    kept, missing = P.drop_unnamed(df)
+    assert kept.count() == 0 and missing.first()[0] == 3
+
+
 def test_mode_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame(
         [("p", 2.0), ("p", 1.0), ("p", None), ("q", None)], "gh_project_name string, c double")
