@@ -1,0 +1,33 @@
+"""The registered queries: their checks, the pipeline, and the entry without them."""
+
+import oracle
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from buildlens.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, duck, sf_dir, name):
+    got = oracle.rows_of_spark(queries.QUERIES[name](spark, sf_dir))
+    assert oracle.difference(got, oracle.rows_of_duckdb(duck, queries.ORACLES[name])) is None
+
+
+def test_all_are_registered():
+    known = __spark_entry__.queries()
+    assert set(queries.QUERIES) <= set(known) and "pipeline" in known
+
+
+def test_stages_keep_the_columns_and_only_drop_what_they_judge(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == columns, name
+        assert docs.count() <= before
+        if name == "line_dedup":
+            assert docs.count() == before
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.filter("taken <= 0 or taken > 2 * size").isEmpty() and not last.isEmpty()
