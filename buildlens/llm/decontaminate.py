@@ -268,6 +268,8 @@ def is_contaminated(most: int = 20) -> Column:
 
 def cut_text(text: str, spans: list[list[int]], longest: int) -> str:
     """The text without hit spans of ``longest`` or more words."""
+    if not text or not spans:
+        return text
     data, words = text.encode("utf-8"), spans_of_words(text)
     kept, at = [], 0
     for start, end in spans:

@@ -294,7 +294,8 @@ def test_languages_of_pages(spark, sf_dir):
 
 def test_wrong_declarations_lose_against_the_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("length(text) > 200").limit(200)
-    wrong = F.when(F.col("doc_id") % 20 == 0, F.lit("zz")).otherwise(F.col("lang"))
+    other = F.when(F.col("lang") == "en", F.lit("fr")).otherwise(F.lit("en"))
+    wrong = F.when(F.col("doc_id") % 20 == 0, other).otherwise(F.col("lang"))
     rows = docs.withColumn("declared", wrong)
     for r in language.identify(rows, "text", "declared", "source", keep=["doc_id", "lang"]).collect():
         assert r["language"] == r["lang"]
