@@ -22,9 +22,13 @@ _TINY = 1e-10  # fixed value: keeps F1 defined where precision and recall are 0
 
 def sweep(df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     """One row per key and distinct score: counts at the score, counts at or
-    above it (``tp``, ``seen``) and key totals (``pos_all``, ``n_all``)."""
+    above it (``tp``, ``seen``) and key totals (``pos_all``, ``n_all``).
+
+    Rows with a null key, or a null or NaN score, take no part."""
     keys = list(keys)
-    groups = df.groupBy(*keys, "p").agg(
+    for needed in [*keys, "p"]:
+        df = df.filter(F.col(needed).isNotNull())
+    groups = df.filter(~F.isnan("p")).groupBy(*keys, "p").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
     if not any_hot(df, keys):
         # few enough scores per key for one task: totals share the sort's exchange

@@ -8,6 +8,7 @@ project have no size limit and are fitted by Spark ML.
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -71,41 +72,41 @@ def draw(space: dict[str, list], rng: random.Random) -> Params:
 
 
 def check_genetic(settings: dict) -> dict:
-    settings = {**GENETIC, **settings}
-    for name in ("population_size", "max_generations"):
-        if not isinstance(settings[name], int) or settings[name] <= 0:
-            raise ValueError(f"{name} must be a positive integer")
-    if not 0 < settings["retain"] <= 1:
-        raise ValueError("retain must be in (0, 1]")
-    for name in ("random_select", "mutate_chance"):
-        if not 0 <= settings[name] <= 1:
-            raise ValueError(f"{name} must be in [0, 1]")
-    return settings
+    """The settings with defaults filled in, or an error naming all that are out of range."""
+    full = GENETIC | settings
+    whole = [n for n in ("population_size", "max_generations")
+             if not (isinstance(full[n], int) and full[n] >= 1)]
+    shares = [n for n, least in (("retain", 1e-12), ("random_select", 0), ("mutate_chance", 0))
+              if not least <= full[n] <= 1]
+    if whole or shares:
+        raise ValueError(f"out of range: {', '.join([*whole, *shares])}")
+    return full
 
 
 def next_generation(
     scored: list[Candidate], space: dict[str, list], settings: dict, rng: random.Random
 ) -> list[Candidate]:
-    """Keep the best, sometimes others, and fill up with children of two parents."""
-    group = scored[0].group
-    ranked = sorted(scored, key=lambda c: (-(c.score or 0.0), c.number))
-    kept = int(len(ranked) * settings["retain"])
-    parents = ranked[:kept] + [
-        c for c in ranked[kept:] if rng.random() < settings["random_select"]]
-    number = max(c.number for c in scored)
-    while len(parents) < 2:
-        number += 1
-        parents.append(Candidate(group, number, draw(space, rng)))
-    children = []
-    while len(parents) + len(children) < len(scored):
-        mother, father = rng.sample(parents, 2)
-        params = {k: rng.choice((mother.params[k], father.params[k])) for k in space}
+    """As many candidates as before: survivors with their scores, then new ones.
+
+    The best share survives, the others each by chance. Every new candidate
+    takes each parameter from one of two survivors; one parameter may be drawn
+    anew. If fewer than two survive, freshly drawn candidates join them.
+    """
+    numbers = itertools.count(1 + max(c.number for c in scored))
+    scored = sorted(scored, key=lambda c: (-(c.score or 0.0), c.number))
+    best = int(settings["retain"] * len(scored))
+    alive = [c for place, c in enumerate(scored)
+             if place < best or rng.random() < settings["random_select"]]
+    alive += [Candidate(scored[0].group, next(numbers), draw(space, rng))
+              for _ in range(2 - len(alive))]
+    result = list(alive)
+    for number in itertools.islice(numbers, max(0, len(scored) - len(alive))):
+        pair = rng.sample(alive, 2)
+        params = {name: pair[rng.getrandbits(1)].params[name] for name in space}
         if rng.random() < settings["mutate_chance"]:
-            changed = rng.choice(list(space))
-            params[changed] = rng.choice(space[changed])
-        number += 1
-        children.append(Candidate(group, number, params))
-    return parents + children
+            params |= draw({name: space[name] for name in [rng.choice(sorted(space))]}, rng)
+        result.append(Candidate(scored[0].group, number, params))
+    return result
 
 
 def search(
@@ -172,14 +173,20 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, reg: float, steps: int, seed: in
     weight = weight / weight.sum()
     rng = np.random.default_rng(seed)
     beta = rng.normal(0.0, 1e-3, z.shape[1])
-    # the curvature of the loss is bounded by a quarter of the weighted trace
-    rate = 1.0 / (0.25 * float(weight @ np.einsum("ij,ij->i", z, z)) + reg)
-    rate *= np.sqrt(z.shape[1])
+    # The curvature of the loss is at most a quarter of the largest eigenvalue of
+    # the weighted Gram matrix; power iteration finds it from below.
+    along, top = rng.normal(size=z.shape[1]), 0.0
+    for _ in range(50):
+        along = z.T @ (weight * (z @ (along / np.linalg.norm(along))))
+        top = float(np.linalg.norm(along))
+    rate = 1.0 / (0.25 * 1.1 * top + reg)
     look, momentum = beta.copy(), 1.0
     for _ in range(steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(z @ look, -30, 30)))
         gradient = z.T @ (weight * (p - y)) + reg * np.append(look[:-1], 0.0)
         new = look - rate * gradient
+        if gradient @ (new - beta) > 0:
+            momentum = 1.0  # the momentum points uphill: start it anew
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         look, beta, momentum = new + (momentum - 1) / grown * (new - beta), new, grown
     return lambda v: 1.0 / (1.0 + np.exp(-np.clip(
@@ -367,7 +374,7 @@ def _learner(algorithm: str, params: Params, inputs: int):
         return LogisticRegression(
             weightCol="weight", maxIter=steps, regParam=float(params["reg_param"]), **common)
     if algorithm == "gbt":
-        return GBTClassifier(weightCol="weight", maxIter=min(steps, 20), seed=42, **common)
+        return GBTClassifier(weightCol="weight", maxIter=steps, seed=42, **common)
     if algorithm == "mlp":
         # has no weights; balance the rows before the windows are cut
         return MultilayerPerceptronClassifier(
@@ -518,14 +525,14 @@ def fixed_threshold_entries(scored: DataFrame, threshold: float) -> DataFrame:
 
 def adapted_validation(
     df: DataFrame, bellwether: str, features: list[str], params: Params | None = None,
-    algorithm: str = "logistic", target_weight: float = 4.0, top: int = 10,
+    algorithm: str = "logistic", target_weight: float = 4.0, top: int | None = None,
     limit: float = GATE_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """(entries, best project): refit for each target on bellwether and target rows.
 
     The first 80% of a target's windows join the training set with a higher
     weight; its last 20% are scored with a threshold of their own. One Spark
-    ML fit per target, of which there are at most ``top``.
+    ML fit per target; ``top`` names only the largest ones.
     """
     params = params or {**DEFAULT, "time_step": 20}
     length = int(params["time_step"])
@@ -534,7 +541,8 @@ def adapted_validation(
     rows = _weighted(S.chrono_split(cut), "label", "weights").select(
         F.col(PROJECT).alias("proj"), "part", "vector", "label", "weight")
     sizes = rows.filter(F.col("proj") != bellwether).groupBy("proj").count()
-    targets = [r["proj"] for r in sizes.orderBy(F.desc("count"), "proj").limit(top).collect()]
+    sizes = sizes.orderBy(F.desc("count"), "proj")
+    targets = [r["proj"] for r in (sizes if top is None else sizes.limit(top)).collect()]
     scored = []
     for target in targets:
         own = F.col("proj") == target
@@ -603,7 +611,7 @@ def _predict_border(rows: DataFrame, weights: np.ndarray, names: list[str]) -> D
 
 
 def border_reconstruction(
-    df: DataFrame, features: list[str], length: int = 40, max_samples: int = 11_000,
+    df: DataFrame, features: list[str], length: int = 40, max_samples: int | None = None,
     r2_goal: float = 0.5, rounds: int = 5, low_r2: float = -0.1,
 ) -> tuple[DataFrame, list[str]]:
     """(scorecard of the last round, features set to zero).
@@ -620,10 +628,17 @@ def border_reconstruction(
         total = rows.count()
         if total == 0:
             raise ValueError("no project is longer than the window")
-        cut = rows.select(PROJECT, "position").orderBy(
-            F.desc(PROJECT), F.desc("position")).limit(max(int(total * 0.2), 1))
-        test = rows.join(F.broadcast(cut), [PROJECT, "position"], "left_semi")
-        train = rows.join(F.broadcast(cut), [PROJECT, "position"], "left_anti")
+        # the last windows in (project, position) order: per project, those after
+        # a position that follows from the sizes of the projects behind it
+        behind = Window.orderBy(F.desc(PROJECT)).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy(PROJECT).agg(
+            F.count(F.lit(1)).alias("_n"), F.max("position").alias("_end"))
+        room = F.lit(max(int(total * 0.2), 1)) - F.coalesce(F.sum("_n").over(behind), F.lit(0))
+        ends = sizes.select(PROJECT, (F.col("_end") - F.greatest(F.least(room, "_n"), F.lit(0)))
+                            .alias("_cut"))
+        placed = rows.join(ends, PROJECT)
+        test = placed.filter(F.col("position") > F.col("_cut")).drop("_cut")
+        train = placed.filter(F.col("position") <= F.col("_cut")).drop("_cut")
         weights = _linear_map(train, length * len(features), len(names))
         predicted = checkpointed(_predict_border(test, weights, names))
         card = E.regression_scorecard(predicted)

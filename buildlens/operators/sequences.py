@@ -139,19 +139,23 @@ def border_names(features: Iterable[str], border: int = 3) -> list[str]:
 
 
 def border_windows(
-    df: DataFrame, features: list[str], length: int = 40, max_samples: int = 11_000,
+    df: DataFrame, features: list[str], length: int = 40, max_samples: int | None = None,
     project: str = PROJECT, order: Iterable[str] = TIME_ORDER, zeroed: Iterable[str] = (),
 ) -> DataFrame:
-    """The first ``max_samples`` windows in (project, position) order with their
-    unscaled border ``target``.
+    """Windows with their unscaled border ``target``.
 
-    ``max_samples`` is the sample size of this operator. It also bounds what
-    has to be read of a project, so windows are only built for rows that can
-    be among the chosen ones.
+    With ``max_samples`` only the first ones in (project, position) order; it
+    then also bounds what has to be read of a project, so windows are only
+    built for rows that can be among the chosen ones.
     """
     zeroed = set(zeroed)
     masked = df.withColumns({c: F.lit(0.0) for c in features if c in zeroed})
-    line = Timeline.of(masked, [project], order).head("position", max_samples + length)
+    line = Timeline.of(masked, [project], order)
+    if max_samples is None:
+        rows = line.position("position").frame().filter(F.col(project).isNotNull())
+        windows = train_windows(rows, features, length, [project], ["position"])
+        return windows.withColumn("target", border_rows(F.col("window")))
+    line = line.head("position", max_samples + length)
     rows = line.frame().filter(F.col(project).isNotNull())
     chosen = (
         rows.filter(F.col("position") > length)
@@ -182,7 +186,8 @@ def scale_targets(df: DataFrame, width: int, vector: str = "target") -> DataFram
 
 
 def border_targets(
-    df: DataFrame, features: list[str], length: int = 40, max_samples: int = 11_000, **options
+    df: DataFrame, features: list[str], length: int = 40, max_samples: int | None = None,
+    **options
 ) -> DataFrame:
     """Border windows with targets scaled to [0, 1]."""
     windows = border_windows(df, features, length, max_samples, **options)

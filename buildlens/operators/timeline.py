@@ -38,6 +38,8 @@ SAMPLES_PER_SLICE = 128
 MAX_SLICES = 200_000
 
 SLICE = "_slice"
+#: Prefix of the columns that carry values over slice borders.
+CARRIED = "_carried_"
 _STEPS = [2**i for i in range(17, -1, -1)]
 
 
@@ -131,6 +133,8 @@ class Timeline:
         saves the check.
         """
         keys, order = list(keys), list(order)
+        if taken := [c for c in df.columns if c == SLICE or c.startswith(CARRIED)]:
+            raise ValueError(f"reserved column names: {taken}")
         base = df if base is None else base
         cuts = None if bounded else _cut_table(base, keys, order, hot_rows_of(df, hot_rows))
         # Rows without a key get no result; they are spread instead of piled
@@ -202,19 +206,20 @@ class Timeline:
         )
         if self.split:
             before = self._slices.rowsBetween(Window.unboundedPreceding, -1)
-            totals = self._per_slice(*[F.sum(v).alias(f"_{n}") for n, v in sums.items()],
-                                     F.lit(1).alias("_one"))
+            # own columns have a prefix that the caller's names must not have
+            own = {n: f"{CARRIED}{n}" for n in sums}
+            totals = self._per_slice(*[F.sum(v).alias(own[n]) for n, v in sums.items()],
+                                     F.lit(1).alias(CARRIED))
             carried = totals.select(
                 *self._cell,
-                F.sum("_one").over(before).alias("_seen"),
-                *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums],
+                F.sum(CARRIED).over(before).alias(CARRIED),
+                *[F.sum(c).over(before).alias(c) for c in own.values()],
             )
-            rows = self._carry(rows, carried, F.col("_seen").isNotNull())
+            rows = self._carry(rows, carried, F.col(CARRIED).isNotNull())
             rows = rows.withColumns({
                 # null only when neither part has a value, as one sum would be
-                n: F.coalesce(F.col(n) + F.col(f"_{n}"), F.col(n), F.col(f"_{n}"))
-                for n in sums
-            }).drop("_seen", *[f"_{n}" for n in sums])
+                n: F.coalesce(F.col(n) + F.col(c), F.col(n), F.col(c)) for n, c in own.items()
+            }).drop(CARRIED, *own.values())
         return self._with(rows.withColumns({n: self._known(F.col(n)) for n in sums}))
 
     def position(self, name: str) -> Timeline:
@@ -397,8 +402,10 @@ def exact_quantiles(
     The built-in percentile keeps a key's distinct values in memory, which is
     fine up to the size that is checked here. For larger keys equal values are
     counted first (combined on the map side), then running counts locate the
-    wanted positions.
+    wanted positions. Rows with a null key or value take no part.
     """
+    if keys:
+        df = df.filter(_key_known(keys))
     if not any_hot(df, keys, hot_rows):
         found = df.groupBy(*keys).agg(
             F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(f)) for f in fractions]))

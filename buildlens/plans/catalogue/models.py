@@ -272,7 +272,7 @@ def cross_project_validation(spark, sf_dir):
 def adapted_validation(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     best = R.top_datasets(rows, 1).first()["project"]
-    entries, _ = M.adapted_validation(rows, best, WINDOW_FEATURES, _PARAMS, top=2, limit=1.0)
+    entries, _ = M.adapted_validation(rows, best, WINDOW_FEATURES, _PARAMS, limit=1.0)
     return entries
 
 

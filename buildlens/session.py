@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,13 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares for checkpoints.
 
-    Only a session that names no such folder (a test) gets a temporary one.
+    Only a local session that names no such folder (a test) gets a temporary
+    one; on a cluster executors would write to disks of their own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.getCheckpointDir() and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="buildlens-"))
     return named or context.getCheckpointDir()

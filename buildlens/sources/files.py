@@ -16,6 +16,10 @@ from ..functions import columns as C
 from ..operators.profile import union_all_by_name
 from ..schema import CANONICAL, LABEL, PROJECT, STARTED, TIME_ORDER, match_dialect, source_name
 
+#: Session setting: whether fields of CSV files may hold line breaks.
+MULTI_LINE_SETTING = "buildlens.csvMultiLine"
+# fixed values: words that other writers of CSV leave for a missing text
+MISSING_WORDS = ["", "NA", "N/A", "n/a", "NULL", "null", "NaN", "nan", "None"]
 _HEADER_BYTES = 1 << 20
 _MAX_HEADERS = 1_000
 
@@ -91,7 +95,11 @@ def _paths_by_header(headers: DataFrame) -> dict[tuple[str, ...], list[str]]:
 def _read_text(spark: SparkSession, header: Iterable[str], paths: list[str]) -> DataFrame:
     """Files of one header with every column as text, and where rows come from."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = spark.read.schema(schema).option("header", "true").csv(paths)
+    # quotes inside quoted fields are doubled; fields with line breaks need whole
+    # files in one task, so they are read only where the session says so
+    several = spark.conf.get(MULTI_LINE_SETTING, "false")
+    df = spark.read.schema(schema).options(
+        header="true", quote='"', escape='"', multiLine=several).csv(paths)
     parts = F.split("_metadata.file_path", "/")
     return df.select("*", F.element_at(parts, -2).alias("_folder"),
                      F.element_at(parts, -1).alias("_file"))
@@ -108,10 +116,12 @@ def _typed(column: str) -> Column:
     if isinstance(kind, T.TimestampType):
         return C.parse_timestamp(text)
     if isinstance(kind, T.StringType):
-        return text
+        return F.when(~F.trim(text).isin(MISSING_WORDS), text)
     if isinstance(kind, T.DoubleType):
         return C.number(text)
-    return text.try_cast(kind)
+    # whole numbers may be written with a zero fraction, as where some are missing
+    exact = text.try_cast("decimal(38,9)")
+    return F.when(exact == F.floor(exact), exact.try_cast(kind))
 
 
 # -- scans --------------------------------------------------------------------
@@ -244,7 +254,7 @@ def write_dialect(df: DataFrame, dialect: str, path: str) -> None:
     named = df.select(*[
         (F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if c == STARTED else F.col(c))
         .alias(source_name(dialect, c)) for c in df.columns])
-    named.write.mode("overwrite").option("header", "true").csv(path)
+    named.write.mode("overwrite").options(header="true", quote='"', escape='"').csv(path)
 
 
 def save_projects(df: DataFrame, out: str, project: str = PROJECT) -> DataFrame:
@@ -259,7 +269,7 @@ def save_projects(df: DataFrame, out: str, project: str = PROJECT) -> DataFrame:
         named = named.withColumn(STARTED, F.date_format(STARTED, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     (
         named.hint("rebalance", "safe_name")
-        .write.mode("overwrite").partitionBy("safe_name").option("header", "true").csv(out)
+        .write.mode("overwrite").partitionBy("safe_name").options(header="true", quote='"', escape='"').csv(out)
     )
     names = named.select(F.col(project).alias("project"), "safe_name").distinct()
     return names.select(
