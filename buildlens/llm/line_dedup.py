@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
+#: What an entry of the join is for: looking for smaller sets, being found by larger ones.
+SEEKS, FOUND = 1, 2
 HASH_BITS = 57
 
 
@@ -120,20 +122,27 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
     # under both, with the words that 8/9 of it allow, as it is the smaller one.
     scale = F.floor(F.log(F.col("n") + 0.5) / math.log(1.25)).cast("int")
     early = F.col("at") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
-    own = F.struct(F.lit(True).alias("seeks"), early.alias("found"), scale.alias("scale"))
-    following = F.struct(F.lit(False).alias("seeks"), early.alias("found"), (scale + 1).alias("scale"))
+    role = F.when(early, SEEKS + FOUND).otherwise(SEEKS)
+    own = F.struct(role.alias("role"), scale.alias("scale"))
+    following = F.struct(F.lit(FOUND).alias("role"), (scale + 1).alias("scale"))
     entries = entries.select("key", "n", "p0", "p1", "at", "word", F.explode(
         F.when(early, F.array(own, following)).otherwise(F.array(own))).alias("as"))
-    entries = entries.select("key", "n", "p0", "p1", "at", "word", "as.*")
+    # Both sides of the join use every column and no side is filtered before
+    # it, so both read one and the same shuffle.
+    packed = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(
+        F.shiftleft(F.col("at").cast("long"), 2)).bitwiseOR(F.col("as.role").cast("long"))
+    entries = entries.select("key", "p0", "p1", "word", packed.alias("packed"),
+                             F.col("as.scale").alias("scale"))
     a, b = entries.alias("a"), entries.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
+    n, m = (F.shiftright(F.col(f"{side}.packed"), 33) for side in "ab")
+    at_a, at_b = (F.shiftright(F.col(f"{side}.packed"), 2).bitwiseAND(F.lit((1 << 31) - 1))
+                  for side in "ab")
     # an overlap of 4/9 of both sizes together is a similarity of 4/5
     shared = (F.col("a.word") == F.col("b.word")) & (F.col("a.scale") == F.col("b.scale"))
-    # as one value of both sides, so that both sides stay the same shuffle
-    roles = F.when(F.col("a.found"), F.col("b.seeks")).otherwise(F.lit(False))
+    roles = F.shiftright(F.col("a.packed"), 1).bitwiseAND(F.col("b.packed")).bitwiseAND(F.lit(1)) == 1
     order = (n < m) | ((n == m) & (F.col("a.key") < F.col("b.key")))
     length = 5 * n >= 4 * m
-    rest = 1 + F.least(n - F.col("a.at"), m - F.col("b.at")) - 1
+    rest = F.least(n - at_a, m - at_b)
     position = 9 * rest >= 4 * (n + m)
     differ = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) \
         + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
