@@ -117,16 +117,19 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
         "key", size.alias("n"), _parity(F.col("words"), 0).alias("p0"),
         _parity(F.col("words"), 1).alias("p1"), F.slice("words", F.lit(1), prefix).alias("prefix"))
     entries = sets.select("key", "n", "p0", "p1", F.posexplode("prefix").alias("at", "word"))
-    # Sizes are classed by powers of 5/4, so the larger set is of the same class
-    # or the next. A set is looked for under its own class; it can be found
-    # under both, with the words that 8/9 of it allow, as it is the smaller one.
-    scale = F.floor(F.log(F.col("n") + 0.5) / math.log(1.25)).cast("int")
+    # Sizes are classed by powers of 4. A set is looked for under its own class;
+    # as the smaller one it can be found there, with the words that 8/9 of it
+    # allow, and under the class of the largest similar set where that differs.
+    def scale_of(largest: Column) -> Column:
+        return F.floor(F.log(largest + 0.5) / math.log(4)).cast("int")
+
+    scale, upper = scale_of(F.col("n")), scale_of(F.col("n") * 5 / 4)
     early = F.col("at") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
     role = F.when(early, SEEKS + FOUND).otherwise(SEEKS)
     own = F.struct(role.alias("role"), scale.alias("scale"))
-    following = F.struct(F.lit(FOUND).alias("role"), (scale + 1).alias("scale"))
+    following = F.struct(F.lit(FOUND).alias("role"), upper.alias("scale"))
     entries = entries.select("key", "n", "p0", "p1", "at", "word", F.explode(
-        F.when(early, F.array(own, following)).otherwise(F.array(own))).alias("as"))
+        F.when(early & (upper > scale), F.array(own, following)).otherwise(F.array(own))).alias("as"))
     # Both sides of the join use every column and no side is filtered before
     # it, so both read one and the same shuffle.
     packed = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(
