@@ -12,7 +12,7 @@ DataFrame functions are used.
    words first keep the groups below small.
 3. Two similar sets share a word among the first few of both (prefix filter),
    not too far from the start of either (positional filter), and have similar
-   sizes (length filter). Each entry also has 128 parity bits of its set: the
+   sizes (length filter). Each entry also has 64 or 128 parity bits of its set: the
    sets differ in at least as many words as these differ in bits. All four are
    conditions of one join, so what leaves it is nearly the result.
 4. The candidates' word sets are compared in full.
@@ -37,6 +37,8 @@ BUCKETS = 1 << 16
 #: What an entry of the join is for: looking for smaller sets, being found by larger ones.
 SEEKS, FOUND = 1, 2
 HASH_BITS = 57
+#: Sets of so many words have twice the parity bits.
+LARGE = 64
 
 
 def _spaced(text: Column) -> Column:
@@ -83,14 +85,16 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _parity(words: Column, half: int) -> Column:
-    """64 of the 128 parity bits of a set: every word flips one."""
+def _parity(words: Column, half: int | None = None) -> Column:
+    """64 parity bits of a set, or of one half of it: every word flips one."""
 
     def flip(bits: Column, word: Column) -> Column:
-        mine = F.shiftright(word, 6).bitwiseAND(F.lit(1)) == half
         # the distance is the word's last six bits
-        return F.when(mine, bits.bitwiseXOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits)
+        flipped = bits.bitwiseXOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))
+        if half is None:
+            return flipped
+        return F.when(F.shiftright(word, 6).bitwiseAND(F.lit(1)) == half, flipped).otherwise(bits)
 
     return F.aggregate(words, F.lit(0).cast("long"), flip)
 
@@ -106,22 +110,31 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
         F.min(F.struct("id", "text_key", "no", "line")).alias("m"))
 
 
-def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
-    """(a, b): keys of lines that pass all filters, the smaller set first."""
+def _entries(firsts: DataFrame, rarity: Column) -> DataFrame:
+    """(key, p0, p1, packed, word): the prefix of every line's set.
+
+    ``word`` is the word, by 40 bits, and the size class it is looked for or
+    found under: two words that agree in them only make a candidate more.
+    ``packed`` is the size of the set, the place of the word in it and its role.
+    """
     sets = firsts.select("key", _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
     size = F.size("words")
     # at least 4/5 of a set must be in the other one
     prefix = (size - F.ceil(size * 4 / 5) + 1).cast("int")
     # before the generator: what stands beside it is computed for each of its rows
+    # 64 bits tell sets of up to as many words apart, larger ones have 128; the
+    # two halves of a large set's bits, combined, are its 64
+    large, none = size >= LARGE, F.lit(0).cast("long")
     sets = sets.select(
-        "key", size.alias("n"), _parity(F.col("words"), 0).alias("p0"),
-        _parity(F.col("words"), 1).alias("p1"), F.slice("words", F.lit(1), prefix).alias("prefix"))
+        "key", size.alias("n"),
+        F.when(large, _parity(F.col("words"), 0)).otherwise(_parity(F.col("words"))).alias("p0"),
+        F.when(large, _parity(F.col("words"), 1)).otherwise(none).alias("p1"), F.slice("words", F.lit(1), prefix).alias("prefix"))
     entries = sets.select("key", "n", "p0", "p1", F.posexplode("prefix").alias("at", "word"))
-    # Sizes are classed by powers of 4. A set is looked for under its own class;
+    # Sizes are classed by powers of 16. A set is looked for under its own class;
     # as the smaller one it can be found there, with the words that 8/9 of it
     # allow, and under the class of the largest similar set where that differs.
     def scale_of(largest: Column) -> Column:
-        return F.floor(F.log(largest + 0.5) / math.log(4)).cast("int")
+        return F.floor(F.log(largest + 0.5) / math.log(16)).cast("int")
 
     scale, upper = scale_of(F.col("n")), scale_of(F.col("n") * 5 / 4)
     early = F.col("at") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
@@ -130,25 +143,34 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
     following = F.struct(F.lit(FOUND).alias("role"), upper.alias("scale"))
     entries = entries.select("key", "n", "p0", "p1", "at", "word", F.explode(
         F.when(early & (upper > scale), F.array(own, following)).otherwise(F.array(own))).alias("as"))
-    # Both sides of the join use every column and no side is filtered before
-    # it, so both read one and the same shuffle.
     packed = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(
         F.shiftleft(F.col("at").cast("long"), 2)).bitwiseOR(F.col("as.role").cast("long"))
-    entries = entries.select("key", "p0", "p1", "word", packed.alias("packed"),
-                             F.col("as.scale").alias("scale"))
+    # a class is below 16: sizes are below 2 ** 31
+    word = F.shiftleft(F.col("word").bitwiseAND(F.lit((1 << 40) - 1)), 4).bitwiseOR(
+        F.col("as.scale").cast("long"))
+    return entries.select("key", "p0", "p1", packed.alias("packed"), word.alias("word"))
+
+
+def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
+    """(a, b): keys of lines that pass all filters, the smaller set first."""
+    # Both sides of the join use every column and no side is filtered before
+    # it, so both read one and the same shuffle.
+    entries = _entries(firsts, rarity)
     a, b = entries.alias("a"), entries.alias("b")
     n, m = (F.shiftright(F.col(f"{side}.packed"), 33) for side in "ab")
     at_a, at_b = (F.shiftright(F.col(f"{side}.packed"), 2).bitwiseAND(F.lit((1 << 31) - 1))
                   for side in "ab")
     # an overlap of 4/9 of both sizes together is a similarity of 4/5
-    shared = (F.col("a.word") == F.col("b.word")) & (F.col("a.scale") == F.col("b.scale"))
+    shared = F.col("a.word") == F.col("b.word")
     roles = F.shiftright(F.col("a.packed"), 1).bitwiseAND(F.col("b.packed")).bitwiseAND(F.lit(1)) == 1
     order = (n < m) | ((n == m) & (F.col("a.key") < F.col("b.key")))
     length = 5 * n >= 4 * m
     rest = F.least(n - at_a, m - at_b)
     position = 9 * rest >= 4 * (n + m)
-    differ = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) \
-        + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
+    # the first set is the smaller one
+    p0, p1 = (F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}")) for p in ("p0", "p1"))
+    differ = F.when(n >= LARGE, F.bit_count(p0) + F.bit_count(p1)).otherwise(
+        F.bit_count(p0.bitwiseXOR(p1)))
     parity = 9 * differ <= n + m
     return a.join(b, shared & roles & order & length & parity & position).select(
         F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
@@ -181,7 +203,10 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = _first_lines(docs, id_col, text_col, least)
     repeats = _repeats(firsts, _rarity(docs, F.col(text_col)))
     stay = firsts.join(repeats, "key", "left_anti")
-    return stay.groupBy("m.id", "m.text_key").agg(F.collect_list("m.no").alias("kept"))
+    # lines of one document lie scattered, so lists begun before the shuffle
+    # would only be wider than the numbers
+    stay = stay.select("m.id", "m.text_key", "m.no").repartition("id", "text_key")
+    return stay.groupBy("id", "text_key").agg(F.collect_list("no").alias("kept"))
 
 
 def _joined(docs: DataFrame, kept: DataFrame, id_col: str, text_key: Column) -> DataFrame:

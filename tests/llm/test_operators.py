@@ -1,6 +1,7 @@
 """The operators against brute force and on hand-made rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -394,6 +395,20 @@ def test_line_dedup_against_brute_force(spark):
         assert r["text"] == "\n".join(x for i, x in enumerate(lines) if i not in expected.get(r["doc_id"], []))
 
 
+def test_line_dedup_finds_changed_lines_of_many_sizes(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in (9, 15, 31, 55, 63, 64, 70, 79, 100, 255, 257, 300):
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+        # one tenth of the words gone is a similarity of 9/10; a third is 2/3
+        for share, kind in ((0.0, "first"), (0.1, "near"), (0.34, "far")):
+            rows.append((len(rows), kind, " ".join(words[math.ceil(share * n):])))
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.removed_lines(df).collect()}
+    for doc_id, kind, text in rows:
+        assert got[doc_id] == (kind == "near" and 5 <= len(text.split())), (doc_id, kind)
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     rows = line_dedup.removed_lines(odd).collect()
     assert len(rows) == len(ODD)
