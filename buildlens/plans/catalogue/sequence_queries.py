@@ -132,14 +132,11 @@ def group_window(spark, sf_dir):
     return df.select("tr_build_id", _text(F.flatten(F.flatten(grid))).alias("cells"))
 
 
-_CAP = 700
-
-
 @query("border_targets", _sql(f""", n AS ({_POSITIONS}), t AS (
     SELECT gh_project_name, position, list({_VECTOR}) OVER (PARTITION BY gh_project_name
         ORDER BY position ROWS BETWEEN {LENGTH} PRECEDING AND 1 PRECEDING) AS w FROM n),
     c AS (SELECT gh_project_name, position, flatten(list_concat(w[1:3], w[-3:])) AS v FROM t
-        WHERE len(w) = {LENGTH} ORDER BY gh_project_name, position LIMIT {_CAP}),
+        WHERE len(w) = {LENGTH}),
     u AS (SELECT gh_project_name, position, unnest(v) AS x,
         generate_subscripts(v, 1) AS i FROM c),
     m AS (SELECT i, min(x) AS lo, max(x) AS hi FROM u GROUP BY 1)
@@ -147,7 +144,7 @@ _CAP = 700
         round((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 6) AS target
     FROM u JOIN m ON u.i = m.i"""))
 def border_targets(spark, sf_dir):
-    df = S.border_targets(_rows(spark, sf_dir), FEATURES, LENGTH, max_samples=_CAP)
+    df = S.border_targets(_rows(spark, sf_dir), FEATURES, LENGTH)
     long = df.select(PROJECT, "position", F.posexplode("target").alias("slot", "target"))
     return long.select(PROJECT, "position", "slot", r6("target"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import prepare as P
@@ -26,11 +29,14 @@ def _canonical_rows(spark, sf_dir):
     return df.select(*[c for c in CANONICAL if c in df.columns])
 
 
+_DIALECTS = ("push", "short", "job")
+
+
 def _dialect_folder(spark, sf_dir) -> str:
     """Builds as CSV in the three header dialects, an empty file among them."""
     folder = scratch_folder(spark, "dialects")
     rows = _canonical_rows(spark, sf_dir)
-    for i, dialect in enumerate(("push", "short", "job")):
+    for i, dialect in enumerate(_DIALECTS):
         part = rows.filter(F.col("tr_build_id") % 3 == i).repartition(2)
         files.write_dialect(part, dialect, f"{folder}/{dialect}")
     rows.limit(0).select("tr_status").coalesce(1).write.mode("overwrite").csv(f"{folder}/empty")
@@ -66,11 +72,13 @@ def scan_typed_csv(spark, sf_dir):
     return _read_back(files.canonicalise(files.scan_typed_csv(spark, folder), "job"))
 
 
-@query("canonicalise", _builds(f"SELECT {_READ_BACK} FROM b WHERE tr_build_id % 3 = 1"))
+@query("canonicalise", _builds(f"SELECT {_READ_BACK} FROM b"))
 def canonicalise(spark, sf_dir):
+    """Every dialect read by itself and brought to the same columns."""
     folder = _dialect_folder(spark, sf_dir)
-    raw = files.scan_typed_csv(spark, f"{folder}/short")
-    return _read_back(files.canonicalise(raw, "short"))
+    parts = [_read_back(files.canonicalise(
+        files.scan_typed_csv(spark, f"{folder}/{dialect}"), dialect)) for dialect in _DIALECTS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("combine_sources", _builds(f"SELECT {_READ_BACK} FROM b"))
@@ -86,7 +94,7 @@ def _header(dialect: str) -> str:
 @query("schema_groups", _builds(" UNION ALL ".join(
     f"SELECT DISTINCT '{_header(d)}' AS header, CAST(2 AS BIGINT) AS files, '{d}' AS folder "
     f"FROM b WHERE tr_build_id % 3 = {i}"
-    for i, d in enumerate(("push", "short", "job")))))
+    for i, d in enumerate(_DIALECTS))))
 def schema_groups(spark, sf_dir):
     groups = files.schema_groups(files.file_headers(spark, _dialect_folder(spark, sf_dir)))
     return groups.select("header", "files", "folder").distinct()
@@ -191,9 +199,12 @@ def job_messages(spark, sf_dir):
 
 
 @query("publish_jobs", with_views("""
-    SELECT DISTINCT gh_project_name AS model_name, 'ga' AS tuner FROM b""", b=X.BUILDS_SQL))
+    SELECT DISTINCT model_name, 'ga' AS tuner FROM p WHERE rejected IS NULL""",
+    q=X.MESSAGES_SQL, p=_PARSED))
 def publish_jobs(spark, sf_dir):
-    """One queued message per project of the table (names stand in for models)."""
+    """One queued message for each model that the table's valid messages name."""
     queue = scratch_folder(spark, "published")
-    J.publish_jobs(spark, queue, X.builds(spark, sf_dir).select(PROJECT).distinct())
+    parsed = J.job_messages(X.messages(spark, sf_dir), "body")
+    J.publish_jobs(spark, queue, parsed.filter(F.col("rejected").isNull()).select(
+        "model_name").distinct())
     return spark.read.schema("model_name string, tuner string").json(queue)
