@@ -15,7 +15,8 @@ DataFrame functions are used.
    sizes (length filter). Each entry also has 64 or 128 parity bits of its set: the
    sets differ in at least as many words as these differ in bits. All four are
    conditions of one join, so what leaves it is nearly the result.
-4. The candidates' word sets are compared in full.
+4. The candidates' word sets are compared in full, each line with its earliest
+   candidate first and only if that is not similar with the others.
 
 Words are what single spaces, tabs, form feeds and carriage returns separate,
 known by 57 bits of their hash. Lines of fewer than ``least`` words say too
@@ -39,6 +40,8 @@ SEEKS, FOUND = 1, 2
 HASH_BITS = 57
 #: Sets of so many words have twice the parity bits.
 LARGE = 64
+#: From so many words on, 128 parity bits are too few to part two sets of similar sizes.
+HUGE = 1024
 
 
 def _spaced(text: Column) -> Column:
@@ -111,11 +114,13 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
 
 
 def _entries(firsts: DataFrame, rarity: Column) -> DataFrame:
-    """(key, p0, p1, packed, word): the prefix of every line's set.
+    """(key, p0, p1, packed): the prefix of every line's set.
 
-    ``word`` is the word, by 40 bits, and the size class it is looked for or
-    found under: two words that agree in them only make a candidate more.
-    ``packed`` is the size of the set, the place of the word in it and its role.
+    ``packed`` is the word, by 40 bits, the size class (4) it is looked for or
+    found under, the size of the set (10), the place of the word in it (8) and its
+    role (2). Two words that agree in their bits only make a candidate more.
+    Sets that are too large for this have size 0 there, and size and place
+    in ``p1`` instead of parity bits, which would tell nothing at that size.
     """
     sets = firsts.select("key", _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
     size = F.size("words")
@@ -143,12 +148,15 @@ def _entries(firsts: DataFrame, rarity: Column) -> DataFrame:
     following = F.struct(F.lit(FOUND).alias("role"), upper.alias("scale"))
     entries = entries.select("key", "n", "p0", "p1", "at", "word", F.explode(
         F.when(early & (upper > scale), F.array(own, following)).otherwise(F.array(own))).alias("as"))
-    packed = F.shiftleft(F.col("n").cast("long"), 33).bitwiseOR(
-        F.shiftleft(F.col("at").cast("long"), 2)).bitwiseOR(F.col("as.role").cast("long"))
     # a class is below 16: sizes are below 2 ** 31
     word = F.shiftleft(F.col("word").bitwiseAND(F.lit((1 << 40) - 1)), 4).bitwiseOR(
         F.col("as.scale").cast("long"))
-    return entries.select("key", "p0", "p1", packed.alias("packed"), word.alias("word"))
+    n, at = F.col("n").cast("long"), F.col("at").cast("long")
+    huge = F.col("n") >= HUGE
+    here = F.when(huge, none).otherwise(F.shiftleft(n, 10).bitwiseOR(F.shiftleft(at, 2)))
+    return entries.select(
+        "key", "p0", F.when(huge, F.shiftleft(n, 32).bitwiseOR(at)).otherwise(F.col("p1")).alias("p1"),
+        F.shiftleft(word, 20).bitwiseOR(here).bitwiseOR(F.col("as.role").cast("long")).alias("packed"))
 
 
 def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
@@ -157,12 +165,20 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
     # it, so both read one and the same shuffle.
     entries = _entries(firsts, rarity)
     a, b = entries.alias("a"), entries.alias("b")
-    n, m = (F.shiftright(F.col(f"{side}.packed"), 33) for side in "ab")
-    at_a, at_b = (F.shiftright(F.col(f"{side}.packed"), 2).bitwiseAND(F.lit((1 << 31) - 1))
-                  for side in "ab")
+
+    def bits(value: Column, low: int, count: int) -> Column:
+        return F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << count) - 1))
+
+    def size_and_place(side: str) -> tuple[Column, Column, Column]:
+        packed, p1 = F.col(f"{side}.packed"), F.col(f"{side}.p1")
+        huge = bits(packed, 10, 10) == 0
+        return (huge, F.when(huge, bits(p1, 32, 31)).otherwise(bits(packed, 10, 10)),
+                F.when(huge, bits(p1, 0, 32)).otherwise(bits(packed, 2, 8)))
+
+    (huge_a, n, at_a), (huge_b, m, at_b) = size_and_place("a"), size_and_place("b")
     # an overlap of 4/9 of both sizes together is a similarity of 4/5
-    shared = F.col("a.word") == F.col("b.word")
-    roles = F.shiftright(F.col("a.packed"), 1).bitwiseAND(F.col("b.packed")).bitwiseAND(F.lit(1)) == 1
+    shared = F.shiftrightunsigned("a.packed", 20) == F.shiftrightunsigned("b.packed", 20)
+    roles = bits(F.col("a.packed"), 1, 1).bitwiseAND(F.col("b.packed")) == 1
     order = (n < m) | ((n == m) & (F.col("a.key") < F.col("b.key")))
     length = 5 * n >= 4 * m
     rest = F.least(n - at_a, m - at_b)
@@ -171,25 +187,45 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
     p0, p1 = (F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}")) for p in ("p0", "p1"))
     differ = F.when(n >= LARGE, F.bit_count(p0) + F.bit_count(p1)).otherwise(
         F.bit_count(p0.bitwiseXOR(p1)))
-    parity = 9 * differ <= n + m
+    parity = huge_a | huge_b | (9 * differ <= n + m)
     return a.join(b, shared & roles & order & length & parity & position).select(
         F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
+def _similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(later): the later lines of those pairs whose word sets are similar, compared in full."""
+    one = known.select(F.col("key").alias("earlier"), F.col("line").alias("line_e"), F.col("n").alias("n_e"))
+    other = known.select(F.col("key").alias("later"), F.col("line").alias("line_l"), F.col("n").alias("n_l"))
+    both = F.size(F.array_remove(F.array_intersect(_words(F.col("line_e")), _words(F.col("line_l"))), ""))
+    return pairs.join(one, "earlier").join(other, "later").filter(
+        9 * both >= 4 * (F.col("n_e") + F.col("n_l"))).select("later").distinct()
+
+
 def _repeats(firsts: DataFrame, rarity: Column) -> DataFrame:
-    """(key): lines with a similar line before them."""
+    """(key): lines with a similar line before them.
+
+    Every line is compared with its earliest candidate first: in a group of
+    similar lines that settles nearly all of them. Only lines that it does not
+    settle are compared with all their candidates.
+    """
     pairs = _candidates(firsts, rarity)
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # each line once and by key: all comparisons read this shuffle
     known = firsts.join(wanted, "key").select(
-        "key", F.struct("m.id", "m.text_key", "m.no").alias("first"),
-        _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
-    a = known.select(F.col("key").alias("a"), F.col("first").alias("first_a"), F.col("words").alias("words_a"))
-    b = known.select(F.col("key").alias("b"), F.col("first").alias("first_b"), F.col("words").alias("words_b"))
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    similar = pairs.join(a, "a").join(b, "b").filter(
-        9 * both >= 4 * (F.size("words_a") + F.size("words_b")))
-    later = F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b"))
-    return similar.select(later.alias("key")).distinct()
+        "key", "m.line", F.size(F.array_distinct(F.array_remove(_words(F.col("m.line")), ""))).alias("n")
+    ).repartition("key")
+    places = firsts.join(wanted, "key").select("key", F.struct("m.id", "m.text_key", "m.no").alias("first"))
+    placed = pairs.join(places.select(F.col("key").alias("a"), F.col("first").alias("first_a")), "a").join(
+        places.select(F.col("key").alias("b"), F.col("first").alias("first_b")), "b")
+    swap = F.col("first_a") > F.col("first_b")
+    placed = placed.select(
+        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"),
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"),
+        F.least("first_a", "first_b").alias("first"))
+    nearest = placed.groupBy("later").agg(F.min(F.struct("first", "earlier")).alias("least"))
+    settled = _similar(nearest.select("later", "least.earlier"), known)
+    rest = placed.select("later", "earlier").join(settled, "later", "left_anti")
+    return settled.union(_similar(rest, known)).withColumnRenamed("later", "key")
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -398,7 +398,7 @@ def test_line_dedup_against_brute_force(spark):
 def test_line_dedup_finds_changed_lines_of_many_sizes(spark):
     rng = random.Random(3)
     rows = []
-    for n in (9, 15, 31, 55, 63, 64, 70, 79, 100, 255, 257, 300):
+    for n in (9, 15, 31, 55, 63, 64, 70, 79, 100, 255, 257, 300, 1000, 1023, 1024, 1100, 1300, 5000):
         words = [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
         # one tenth of the words gone is a similarity of 9/10; a third is 2/3
         for share, kind in ((0.0, "first"), (0.1, "near"), (0.34, "far")):
