@@ -194,10 +194,12 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
 
 def _similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(later): the later lines of those pairs whose word sets are similar, compared in full."""
-    one = known.select(F.col("key").alias("earlier"), F.col("line").alias("line_e"), F.col("n").alias("n_e"))
-    other = known.select(F.col("key").alias("later"), F.col("line").alias("line_l"), F.col("n").alias("n_l"))
+    one = known.select(F.col("ref").alias("ref_e"), F.col("line").alias("line_e"), F.col("n").alias("n_e"))
+    other = known.select(F.col("ref").alias("ref_l"), F.col("line").alias("line_l"), F.col("n").alias("n_l"))
     both = F.size(F.array_remove(F.array_intersect(_words(F.col("line_e")), _words(F.col("line_l"))), ""))
-    return pairs.join(one, "earlier").join(other, "later").filter(
+    referred = pairs.select(
+        "later", F.bitwise_not("earlier").alias("ref_e"), F.bitwise_not("later").alias("ref_l"))
+    return referred.join(one, "ref_e").join(other, "ref_l").filter(
         9 * both >= 4 * (F.col("n_e") + F.col("n_l"))).select("later").distinct()
 
 
@@ -210,10 +212,12 @@ def _repeats(firsts: DataFrame, rarity: Column) -> DataFrame:
     """
     pairs = _candidates(firsts, rarity)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # each line once and by key: all comparisons read this shuffle
+    # Each line once: all comparisons read this shuffle. It is by another column
+    # than the key, or it would be left out as the lines lie by key already,
+    # and each comparison would read all lines again.
     known = firsts.join(wanted, "key").select(
-        "key", "m.line", F.size(F.array_distinct(F.array_remove(_words(F.col("m.line")), ""))).alias("n")
-    ).repartition("key")
+        F.bitwise_not("key").alias("ref"), "m.line", F.size(F.array_distinct(F.array_remove(_words(F.col("m.line")), ""))).alias("n")
+    ).repartition("ref")
     places = firsts.join(wanted, "key").select("key", F.struct("m.id", "m.text_key", "m.no").alias("first"))
     placed = pairs.join(places.select(F.col("key").alias("a"), F.col("first").alias("first_a")), "a").join(
         places.select(F.col("key").alias("b"), F.col("first").alias("first_b")), "b")
