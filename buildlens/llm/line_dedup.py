@@ -61,21 +61,22 @@ def _full(line: Column, least: int) -> Column:
 
 
 def _rarity(docs: DataFrame, text: Column) -> Column:
-    """The order of magnitude of every bucket's count, an array; of all texts' words."""
+    """The order of magnitude of every bucket's count, a byte for each; of all texts' words."""
     words = docs.select(F.explode(_words(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")))).alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = words.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     # one small number for each of a fixed number of buckets
     found = {r["b"]: r["n"].bit_length() for r in counts.collect()}
-    numbers = ",".join(str(found.get(b, 0)) for b in range(BUCKETS))
-    return F.split(F.lit(numbers), ",").cast("array<tinyint>")
+    # one literal that all uses share: a folded array would be a copy for each
+    return F.lit(bytes(found.get(b, 0) for b in range(BUCKETS)))
 
 
 def _ordered_set(line: Column, rarity: Column) -> Column:
     """A line's different words as numbers, rare ones first."""
 
     def number(code: Column) -> Column:
-        rank = F.get(rarity, code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        place = code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+        rank = F.ascii(F.substring(rarity, place, 1).cast("string")).cast("long")
         return F.shiftleft(rank, HASH_BITS).bitwiseOR(code.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     words = F.array_remove(_words(line), "")
@@ -218,7 +219,8 @@ def _repeats(firsts: DataFrame, rarity: Column) -> DataFrame:
     known = firsts.join(wanted, "key").select(
         F.bitwise_not("key").alias("ref"), "m.line", F.size(F.array_distinct(F.array_remove(_words(F.col("m.line")), ""))).alias("n")
     ).repartition("ref")
-    places = firsts.join(wanted, "key").select("key", F.struct("m.id", "m.text_key", "m.no").alias("first"))
+    # not narrowed to the wanted ones: that would plan the search for candidates twice more
+    places = firsts.select("key", F.struct("m.id", "m.text_key", "m.no").alias("first"))
     placed = pairs.join(places.select(F.col("key").alias("a"), F.col("first").alias("first_a")), "a").join(
         places.select(F.col("key").alias("b"), F.col("first").alias("first_b")), "b")
     swap = F.col("first_a") > F.col("first_b")
