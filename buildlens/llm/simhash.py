@@ -148,14 +148,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     codes = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
     roots = smallest_reachable(near_pairs(codes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    linked = codes.join(roots, "fp")
+    return named(marked, codes, roots, "fp").select(
+        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def named(marked: DataFrame, codes: DataFrame, roots: DataFrame, code: str) -> DataFrame:
+    """``marked`` (id, code) with component_id, from each code's first id and linked codes' roots."""
+    linked = codes.join(roots, code)
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    alone = codes.join(roots, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    # A fingerprint with very many copies is one hot key of this join; adaptive
+    known = linked.select(code, "root").join(firsts, "root").select(code, "component_id")
+    alone = codes.join(roots, code, "left_anti").select(code, F.col("first").alias("component_id"))
+    # A code with very many copies is one hot key of this join; adaptive
     # execution splits it, as the other side has one row a key.
-    return marked.join(named.union(alone), "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(known.union(alone), code)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -166,7 +171,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (all of them, as nothing tells them apart). Repeated rows of one id become
     one: the one whose columns, as text, come first.
     """
-    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, radius))
+    return first_rows(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows that ``found`` (id, component_id) names as first; see ``keep_one``."""
+    found = checkpointed(found)
     first = F.col(id_col).eqNullSafe(F.col("component_id"))
     mine = found.groupBy(id_col).agg(
         F.max(first).alias("first"), F.count(F.lit(1)).alias("copies"))
