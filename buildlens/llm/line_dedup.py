@@ -19,8 +19,10 @@ DataFrame functions are used.
    candidate first and only if that is not similar with the others.
 
 Words are what single spaces, tabs, form feeds and carriage returns separate,
-known by 57 bits of their hash. Lines of fewer than ``least`` words say too
-little to be copies of something; they and blank lines stay.
+known by 57 bits of their hash. Blank lines stay, and lines of fewer than ``least``
+words. Sets of up to three words are similar only to equal sets: their lines are
+known by the set, so that step 1 settles them and they never enter the join. A
+line that white space does not part is one word, and only equal lines repeat it.
 
 Defined cases: null texts have no lines. Rows with a null id come first. Rows
 that agree in id and text are one document, so both copies keep the same
@@ -40,6 +42,8 @@ SEEKS, FOUND = 1, 2
 HASH_BITS = 57
 #: Sets of so many words have twice the parity bits.
 LARGE = 64
+#: Sets of up to so many words are similar only to equal ones.
+SMALL = 3
 #: From so many words on, 128 parity bits are too few to part two sets of similar sizes.
 HUGE = 1024
 
@@ -60,6 +64,20 @@ def _full(line: Column, least: int) -> Column:
     return F.rlike(line, F.lit(f"^ *+[^ ]++(?: ++[^ ]++){{{least - 1}}}"))
 
 
+def _line_key(line: Column) -> Column:
+    """What equal lines have in common; for lines with small sets, equal sets."""
+
+    def words(pieces: Column) -> Column:
+        return F.array_distinct(F.array_remove(pieces, ""))
+
+    # most lines have more different words than that among their first pieces
+    few = F.size(words(F.slice(F.split(line, " ", 8), 1, 7))) <= SMALL
+    small = few & (F.size(words(_words(line))) <= SMALL)
+    # the marked set is no other line's text: a line has no line break
+    return F.xxhash64(F.when(small, F.concat(F.lit("\n"), F.array_join(
+        F.array_sort(words(_words(line))), " "))).otherwise(line))
+
+
 def _rarity(docs: DataFrame, text: Column) -> Column:
     """The order of magnitude of every bucket's count, a byte for each; of all texts' words."""
     words = docs.select(F.explode(_words(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")))).alias("w"))
@@ -104,13 +122,13 @@ def _parity(words: Column, half: int | None = None) -> Column:
 
 
 def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(key, m): each different line and where it first occurs."""
+    """(key, m): each different line, or small set, and where it first occurs."""
     lines = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
         F.posexplode(F.split(_spaced(F.col(text_col)), "\n")).alias("no", "line"))
     # a line of ``least`` words has more characters than that; the cheap test comes first
     lines = lines.filter((F.octet_length("line") >= 2 * least - 1) & _full(F.col("line"), least))
-    return lines.groupBy(F.xxhash64("line").alias("key")).agg(
+    return lines.groupBy(_line_key(F.col("line")).alias("key")).agg(
         F.min(F.struct("id", "text_key", "no", "line")).alias("m"))
 
 
@@ -124,6 +142,7 @@ def _entries(firsts: DataFrame, rarity: Column) -> DataFrame:
     in ``p1`` instead of parity bits, which would tell nothing at that size.
     """
     sets = firsts.select("key", _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
+    sets = sets.filter(F.size("words") > SMALL)
     size = F.size("words")
     # at least 4/5 of a set must be in the other one
     prefix = (size - F.ceil(size * 4 / 5) + 1).cast("int")

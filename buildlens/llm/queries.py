@@ -70,7 +70,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"), least=1)
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

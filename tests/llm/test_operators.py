@@ -467,6 +467,41 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert line_dedup.removed_lines(odd.limit(0)).count() == 0
 
 
+def brute_removed_of_any_size(docs):
+    seen, removed = [], {}
+    for doc, text in docs:
+        for i, line in enumerate(text.split("\n")):
+            mine = frozenset(w for w in re.split("[ \t\r\f\v]", line) if w)
+            if not mine:
+                continue
+            if any(5 * len(mine & s) >= 4 * len(mine | s) for s in seen):
+                removed.setdefault(doc, []).append(i)
+            seen.append(mine)
+    return removed
+
+
+def test_line_dedup_query_removes_short_lines_too(spark, tmp_path):
+    rand = random.Random(9)
+    words = [*"abcdefghi", "日本語のテキスト", "ภาษาไทย"]
+
+    def line():
+        mine = [rand.choice(words) for _ in range(rand.choice([0, 1, 1, 2, 2, 3, 4, 4, 5, 6, 9, 12]))]
+        return rand.choice([" ", "  ", "\t"]).join(mine)
+
+    docs = [(i, "\n".join(line() for _ in range(rand.randint(1, 5)))) for i in range(80)]
+    docs += [(80, "q w e r\nq q q\nq\n  q q "), (81, "q w e r t\nr e w q\nz z y x\nx y z"), (82, "a\n\n \nz")]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], TEXTS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in queries.op9_line_dedup(spark, str(tmp_path)).collect() if r["n_removed"]}
+    expected = brute_removed_of_any_size(docs)
+    assert got == expected and len(expected) > 40
+    import corpus_pipeline
+
+    for r in corpus_pipeline.line_dedup_stage(spark, df, str(tmp_path)).collect():
+        lines = dict(docs)[r["doc_id"]].split("\n")
+        assert r["text"] == "\n".join(x for i, x in enumerate(lines) if i not in expected.get(r["doc_id"], []))
+
+
 # -- chats ---------------------------------------------------------------------------------
 def test_layouts_become_turns(spark):
     records = {
