@@ -242,7 +242,10 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The documents that are accepted, unchanged; a source stands for the host."""
-    key = F.xxhash64("doc_id", "text")
+    # all that a verdict depends on: rows that agree in the key have one verdict.
+    # A hash leaves nulls out, so it is told where they are.
+    judged = ["doc_id", "text", "lang", "source"]
+    key = F.xxhash64(*judged, *[F.col(c).isNull() for c in judged])
     rows = docs.select(key.alias("_key"), "text", primary_tag(F.col("lang")).alias("declared"),
                        F.col("source").alias("host"))
     rejected = identify(rows, "text", "declared", "host", keep=["_key"]).filter(~F.col("accepted"))

@@ -360,6 +360,24 @@ def test_languages_of_odd_rows(spark, odd):
     assert not rows[1]["accepted"] and not rows[3]["accepted"]
 
 
+def test_rejected_rows_do_not_take_accepted_ones_along(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 200").limit(200)
+    # the same id and text from a source whose texts are all undetermined
+    first = docs.filter("lang = 'en'").orderBy("doc_id").first()
+    junk = [(10 ** 6 + i, "0x1 \u4e00\u4e8c\u4e09 " * 40, None, "junk", 9) for i in range(400)]
+    text = "\u4e94 the \u516d"
+    again = [(first["doc_id"], text, "en", first["source"], 9), (first["doc_id"], text, None, "junk", 9)]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").union(
+        spark.createDataFrame(junk + again, TEXTS))
+    keep = ["doc_id", "text", "lang", "source"]
+    judged = language.identify(
+        rows.withColumn("declared", language.primary_tag(F.col("lang"))), "text", "declared", "source", keep=keep)
+    verdicts = {r["source"]: r["accepted"] for r in judged.filter(F.col("text") == text).collect()}
+    assert verdicts == {first["source"]: True, "junk": False}
+    kept = language.drop_rejected(rows).filter(F.col("text") == text).collect()
+    assert [r["source"] for r in kept] == [first["source"]]
+
+
 # -- secrets ---------------------------------------------------------------------------
 def brute_secrets(text):
     found = []
