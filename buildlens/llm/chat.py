@@ -3,7 +3,10 @@
 Records come as variants of any shape. A record's *paths* are its field names
 and, for lists of objects, ``list[].field``; those that some layout knows are
 hashed to the record's fingerprint, which selects a declarative mapping to
-canonical turns (role, text). Fields that no layout knows do not matter.
+canonical turns (role, text). Fields that no layout knows do not matter. A record
+that has no layout's exact paths takes the most specific layout whose paths it has
+with values, else the most specific whose paths it has; of equally specific ones
+the first in ``LAYOUTS``.
 
 A conversation is written as
 
@@ -16,7 +19,8 @@ The loss mask is a list of (turn, start, length) in characters of the written
 turn after its opening control string: the texts of assistants.
 
 Defined cases: null texts and roles are empty; records of an unknown layout
-have no turns and are returned with a null layout; a layout's absent texts
+have no turns and are returned with a null layout; written conversations count
+them (and records with an empty list of turns) as ``unmatched``; a layout's absent texts
 (no ``input``) are left out; rows that repeat a turn are turns of their own,
 ordered by role and text; rows without a conversation id are one conversation.
 """
@@ -85,8 +89,8 @@ def _print_of(paths: list[str]) -> Column:
     return F.xxhash64(F.lit(",".join(sorted(paths))))
 
 
-def fingerprint(record: Column) -> Column:
-    """The hash of a record's known paths, in order; null for what is no object."""
+def known_paths(record: Column, filled: bool = False) -> Column:
+    """A record's known paths, in order; only those of fields with a value if ``filled``."""
     fields = F.map_entries(F.try_variant_get(record, "$", "map<string,variant>"))
 
     def paths(field: Column) -> Column:
@@ -95,24 +99,47 @@ def fingerprint(record: Column) -> Column:
         listed = F.transform(inner, lambda n: F.concat(field["key"], F.lit("[]."), n))
         return F.when(F.startswith(kind, F.lit("ARRAY<OBJECT<")), listed).otherwise(F.array(field["key"]))
 
+    if filled:
+        fields = F.filter(fields, lambda f: F.schema_of_variant(f["value"]) != "VOID")
     found = F.flatten(F.transform(fields, paths))
-    known = F.array_intersect(F.array_sort(found), F.array(*map(F.lit, KNOWN)))
-    return F.xxhash64(F.array_join(known, ","))
+    return F.array_intersect(F.array_sort(found), F.array(*map(F.lit, KNOWN)))
+
+
+def fingerprint(record: Column) -> Column:
+    """The hash of a record's known paths; null for what is no object."""
+    return F.xxhash64(F.array_join(known_paths(record), ","))
+
+
+def _layout(record: Column, print_of: Column) -> Column:
+    """The name of a record's layout, or null."""
+    exact, held = F.lit(None).cast("string"), F.lit(None).cast("string")
+    filled = F.lit(None).cast("string")
+    # what is looked at later counts: the most specific, of these the first
+    for name, (paths, _) in sorted(reversed(LAYOUTS.items()), key=lambda item: len(item[1][0])):
+        wanted = F.array(*map(F.lit, paths))
+
+        def has(found: Column, size: int = len(paths), wanted: Column = wanted) -> Column:
+            return F.size(F.array_intersect(found, wanted)) == size
+
+        exact = F.when(print_of == _print_of(paths), F.lit(name)).otherwise(exact)
+        held = F.when(has(known_paths(record)), F.lit(name)).otherwise(held)
+        filled = F.when(has(known_paths(record, filled=True)), F.lit(name)).otherwise(filled)
+    return F.coalesce(exact, filled, held)
 
 
 def to_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """``records`` with layout and turns, an array of (role, text)."""
     marked = records.withColumn("_print", fingerprint(F.col(record)))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
-    for name, (paths, mapping) in LAYOUTS.items():
-        same = F.col("_print") == _print_of(paths)
-        layout = F.when(same, F.lit(name)).otherwise(layout)
-        turns = F.when(same, mapping(F.col(record))).otherwise(turns)
+    marked = marked.withColumn("layout", _layout(F.col(record), F.col("_print")))
+    turns = F.lit(None).cast(f"array<{TURN}>")
+    for name, (_, mapping) in LAYOUTS.items():
+        turns = F.when(F.col("layout") == name, mapping(F.col(record))).otherwise(turns)
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     turns = F.transform(turns, lambda t: _turn(
         F.coalesce(F.try_element_at(names, t["role"]), t["role"], F.lit("")),
         F.coalesce(t["text"], F.lit(""))))
-    return marked.withColumn("layout", layout).withColumn("turns", turns).drop("_print")
+    columns = [c for c in marked.columns if c not in ("_print", "layout")]
+    return marked.withColumn("turns", turns).select(*columns, "layout", "turns")
 
 
 def escape(text: Column) -> Column:
@@ -133,20 +160,24 @@ def unescape_role(role: Column) -> Column:
 
 
 def write_chats(turns: DataFrame, conversation: str, order: list[str]) -> DataFrame:
-    """(conversation, formatted, loss) from rows with role, text and the order's columns."""
+    """(conversation, formatted, loss, unmatched) from rows with role, text and the order's columns.
+
+    A row without a role stands for a record without turns; it is only counted.
+    """
     role, text = escape_role(F.col("role")), escape(F.col("text"))
-    place = Window.partitionBy(conversation).orderBy(*order, "role", "text")
+    place = Window.partitionBy(conversation).orderBy(F.col("role").isNull(), *order, "role", "text")
     written = turns.select(
         conversation, (F.row_number().over(place) - 1).alias("turn"),
         F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(f"{END}\n")).alias("part"),
         (F.col("role") == "assistant").alias("counts"),
         (F.length(role) + 1).alias("start"), F.length(text).alias("length"))
     chats = written.groupBy(conversation).agg(F.sort_array(F.collect_list(
-        F.struct("turn", "part", "counts", "start", "length"))).alias("t"))
+        F.struct("turn", "part", "counts", "start", "length"))).alias("t"),
+        F.count_if(F.col("part").isNull()).alias("unmatched"))
     masked = F.transform(F.filter("t", lambda t: t["counts"]), lambda t: F.struct(
         t["turn"].alias("turn"), t["start"].alias("start"), t["length"].alias("length")))
     return chats.select(conversation, F.array_join(F.transform("t", lambda t: t["part"]), "").alias("formatted"),
-                        masked.alias("loss"))
+                        masked.alias("loss"), "unmatched")
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
@@ -178,8 +209,8 @@ def chat_digests(chats: DataFrame, conversation: str) -> DataFrame:
 
 
 def format_turn_rows(rows: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(conversation, formatted, loss) from a table with a row a turn, by way of its layout."""
+    """(conversation, formatted, loss, unmatched) from a table of records, by way of their layouts."""
     records = rows.select(conversation, order, F.to_variant_object(
         F.struct(*[c for c in rows.columns if c not in (conversation, order)])).alias("record"))
-    turns = to_turns(records).select(conversation, order, F.posexplode("turns").alias("at", "said"))
+    turns = to_turns(records).select(conversation, order, F.posexplode_outer("turns").alias("at", "said"))
     return write_chats(turns.select(conversation, order, "at", "said.*"), conversation, [order, "at"])

@@ -538,6 +538,35 @@ def test_layouts_become_turns(spark):
         assert (r["layout"], turns) == records[r["j"]], r["j"]
 
 
+def test_records_that_mix_layouts(spark):
+    records = {
+        '{"instruction": "a", "input": "c", "output": "b", "text": "z"}':
+            ("instruction_input", [("user", "a\n\nc"), ("assistant", "b")]),
+        '{"prompt": "p", "messages": [{"role": "user", "content": "a"}]}': ("messages", [("user", "a")]),
+        '{"role": "user", "text": "a", "content": "b"}': ("turn_text", [("user", "a")]),
+        '{"role": "user", "text": null, "content": "b"}': ("turn_content", [("user", "b")]),
+        '{"question": "a", "answer": "b", "prompt": "p"}': ("question_answer", [("user", "a"), ("assistant", "b")]),
+        '{"prompt": "a", "completion": null, "response": "b"}': ("prompt_response", [("user", "a"), ("assistant", "b")]),
+        '{"prompt": "a"}': (None, None)}
+    df = spark.createDataFrame([(j,) for j in records], "j string").withColumn("record", F.parse_json("j"))
+    for r in chat.to_turns(df).select("j", "layout", "turns").collect():
+        turns = r["turns"] and [tuple(t) for t in r["turns"]]
+        assert (r["layout"], turns) == records[r["j"]], r["j"]
+
+
+def test_no_record_vanishes_from_its_conversation(spark):
+    rows = [(1, 0, "a", "c", "b", "z"), (2, 0, "d", None, "e", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, instruction string, input string, output string, text string")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.read_chats(chat.format_turn_rows(df)).collect()}
+    assert got == {1: [("user", "a\n\nc"), ("assistant", "b")], 2: [("user", "d"), ("assistant", "e")]}
+    lone = chat.read_chats(chat.format_turn_rows(df.select("conv_id", "turn", "text"))).collect()
+    assert sorted((r["conv_id"], r["formatted"], r["unmatched"], r["turns"]) for r in lone) == [(1, "", 1, []), (2, "", 1, [])]
+    mixed = spark.createDataFrame([(1, 0, "[]"), (1, 1, '[{"role": "user", "content": "a"}]')], "conv_id long, turn long, m string")
+    mixed = mixed.select("conv_id", "turn", F.parse_json("m").alias("messages"))
+    r = chat.read_chats(chat.format_turn_rows(mixed)).first()
+    assert (r["unmatched"], [tuple(t) for t in r["turns"]]) == (1, [("user", "a")])
+
+
 def test_chats_read_back_exactly(spark):
     rand = random.Random(4)
     pieces = ["<|im_end|>", "<|im_start|>", "\\", "\\s", "\\p", "\\n", "<", "|", "<\\p", "\n", "é", "日", "a", " "]
