@@ -15,9 +15,10 @@ For every language ``l``
 equally likely. A row is accepted if the winner is a language, has at least
 ``least`` of the probability, and the text has a letter at all.
 
-Declared languages count by their first two letters if these are a primary tag
-of two letters; others, of which there is no bounded number, count as not
-declared. So a model has at most 676 languages times ``BINS`` trigrams.
+Declared languages count by their primary tag of two or three letters; a
+three-letter code of a language that has a two-letter one is that. Tags that name
+no language (``und``, ``mul``, ``mis``, ``zxx``) and longer words count as not
+declared. A model has ``BINS`` numbers for each language that occurs.
 
 Defined cases: null and empty texts have no letters: they are never accepted,
 their language is ``und`` with probability null. A null host takes no part in
@@ -44,6 +45,20 @@ TEMPER = 1 / 3
 #: Rows that a level of the host's address is trusted like, against the level above.
 TRUST = 5.0
 UND = "und"
+# fixed values: tags that name no language, and the three-letter codes of each two-letter one
+NO_LANGUAGE = ["und", "mul", "mis", "zxx"]
+CODES = """aa:aar ab:abk ae:ave af:afr ak:aka am:amh an:arg ar:ara as:asm av:ava ay:aym az:aze ba:bak be:bel bg:bul bi:bis
+bm:bam bn:ben bo:bod,tib br:bre bs:bos ca:cat ce:che ch:cha co:cos cr:cre cs:ces,cze cu:chu cv:chv cy:cym,wel da:dan
+de:deu,ger dv:div dz:dzo ee:ewe el:ell,gre en:eng eo:epo es:spa et:est eu:eus,baq fa:fas,per ff:ful fi:fin fj:fij
+fo:fao fr:fra,fre fy:fry ga:gle gd:gla gl:glg gn:grn gu:guj gv:glv ha:hau he:heb hi:hin ho:hmo hr:hrv ht:hat hu:hun
+hy:hye,arm hz:her ia:ina id:ind ie:ile ig:ibo ii:iii ik:ipk io:ido is:isl,ice it:ita iu:iku ja:jpn jv:jav ka:kat,geo
+kg:kon ki:kik kj:kua kk:kaz kl:kal km:khm kn:kan ko:kor kr:kau ks:kas ku:kur kv:kom kw:cor ky:kir la:lat lb:ltz lg:lug
+li:lim ln:lin lo:lao lt:lit lu:lub lv:lav mg:mlg mh:mah mi:mri,mao mk:mkd,mac ml:mal mn:mon mr:mar ms:msa,may mt:mlt
+my:mya,bur na:nau nb:nob nd:nde ne:nep ng:ndo nl:nld,dut nn:nno no:nor nr:nbl nv:nav ny:nya oc:oci oj:oji om:orm or:ori
+os:oss pa:pan pi:pli pl:pol ps:pus pt:por qu:que rm:roh rn:run ro:ron,rum ru:rus rw:kin sa:san sc:srd sd:snd se:sme
+sg:sag sh:hbs si:sin sk:slk,slo sl:slv sm:smo sn:sna so:som sq:sqi,alb sr:srp ss:ssw st:sot su:sun sv:swe sw:swa ta:tam
+te:tel tg:tgk th:tha ti:tir tk:tuk tl:tgl tn:tsn to:ton tr:tur ts:tso tt:tat tw:twi ty:tah ug:uig uk:ukr ur:urd uz:uzb
+ve:ven vi:vie vo:vol wa:wln wo:wol xh:xho yi:yid yo:yor za:zha zh:zho,chi zu:zul"""
 
 _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
 _HIDDEN = re.compile(r"(?is)<(script|style|head|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -68,8 +83,11 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def primary_tag(declared: Column) -> Column:
-    tag = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2})(?:[-_].*)?\s*$", 1))
-    return F.when(tag != "", tag)
+    tag = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
+    pairs = [pair.split(":") for pair in CODES.split()]
+    names = F.create_map(*[F.lit(x) for two, threes in pairs for three in threes.split(",")
+                           for x in (three, two)])
+    return F.when((tag != "") & ~tag.isin(NO_LANGUAGE), F.coalesce(F.try_element_at(names, tag), tag))
 
 
 def markup_language(markup: Column) -> Column:
@@ -120,7 +138,7 @@ def learn(rows: DataFrame, text_col: str, declared_col: str, markup: bool) -> Te
                  pa.array(found[at])], names=["language", "bin", "n"])
 
     counts = rows.mapInArrow(run, "language string, bin int, n long")
-    # at most 676 languages times BINS numbers
+    # BINS numbers for each declared language that occurs
     counts = counts.groupBy("language", "bin").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["language"].unique()))
     table = np.full((len(languages) + 1, BINS), 0.5)
@@ -211,10 +229,12 @@ def identify(rows: DataFrame, text_col: str, declared_col: str, host_col: str,
     scores = joined.withColumn("_suffix", smoothed(F.col("n_suffix"), numbers(all_rows)))
     scores = scores.withColumn("_domain", smoothed(F.col("n_domain"), F.col("_suffix")))
     scores = scores.withColumn("_prior", smoothed(F.col("n_host"), F.col("_domain")))
-    says = F.create_map(*[x for i, name in enumerate(names[:-1])
-                          for x in (F.lit(name), numbers(declared[:, i]))]) if names[:-1] \
-        else F.lit(None).cast("map<string,array<double>>")
-    said = F.coalesce(F.try_element_at(says, F.col("declared")), numbers([0.0] * size))
+    # a row a language, as a literal would grow with the square of their number
+    says = rows.sparkSession.createDataFrame(
+        [(name, declared[:, i].tolist()) for i, name in enumerate(names[:-1])],
+        "declared string, _says array<double>")
+    scores = scores.join(F.broadcast(says), "declared", "left")
+    said = F.coalesce(F.col("_says"), numbers([0.0] * size))
     logs = F.zip_with(F.col("evidence"), F.zip_with(said, "_prior", lambda d, p: d + F.log(p)),
                       lambda e, d: e * TEMPER + d)
     scores = scores.withColumn("_logs", logs).withColumn("_most", F.array_max("_logs"))

@@ -360,6 +360,29 @@ def test_languages_of_odd_rows(spark, odd):
     assert not rows[1]["accepted"] and not rows[3]["accepted"]
 
 
+def test_three_letter_declarations_have_models(spark, sf_dir):
+    tags = spark.createDataFrame([(t,) for t in ("eng", "fil", "deu-AT", "GER", "yue", "en_US", "und", "zxx", "english", "", None)], "t string")
+    assert [r[0] for r in tags.select(language.primary_tag(F.col("t"))).collect()] == [
+        "en", "fil", "de", "de", "yue", "en", None, None, None, None, None]
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 200").limit(200)
+    threes = {"en": "eng", "fr": "fre", "de": "fil", "es": "haw"}
+    names = F.create_map(*[F.lit(x) for pair in threes.items() for x in pair])
+    rows = docs.withColumns({"was": F.col("lang"), "lang": names[F.col("lang")]})
+    assert language.drop_rejected(rows.drop("was")).count() == 200
+    judged = language.identify(rows.withColumn("declared", language.primary_tag(F.col("lang"))),
+                               "text", "declared", "source", keep=["was"])
+    expected = {"en": "en", "fr": "fr", "de": "fil", "es": "haw"}
+    assert all(r["language"] == expected[r["was"]] for r in judged.collect())
+
+
+def test_many_declared_languages(spark):
+    tags = [a + b for a in "bcdfg" for b in "aeiouklmnr"] + ["qa" + c for c in "abcdefghij"]
+    rows = [(i, f"{chr(0x4e00 + 7 * (i % 60))}{chr(0x4e03 + 7 * (i % 60))} " * 30, tags[i % 60], "s", 1) for i in range(240)]
+    df = spark.createDataFrame(rows, TEXTS)
+    judged = language.identify(df.withColumn("declared", language.primary_tag(F.col("lang"))), "text", "declared", "source", keep=["lang"])
+    assert all(r["language"] == r["lang"] for r in judged.collect())
+
+
 def test_rejected_rows_do_not_take_accepted_ones_along(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("length(text) > 200").limit(200)
     # the same id and text from a source whose texts are all undetermined
