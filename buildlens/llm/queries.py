@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    centroids,
     chat,
     decontaminate,
+    filter_audit,
     language,
     line_dedup,
     mixing,
     neighbours,
+    pieces,
     quality,
     secrets,
     simhash,
@@ -22,6 +25,8 @@ from .rows import table
 
 #: The vocabulary that documents are counted with.
 TOKENIZER = "word_bpe_49k.json"
+#: The model that documents are encoded and decoded with.
+PIECES = "piece_bpe_32k.model"
 #: One more conversation, whose texts are made of control strings.
 PLANTED = [(-1, 0, "user"), (-1, 1, "assistant")]
 PLANTED_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -80,10 +85,58 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_turn_rows(rows.union(planted)), "conv_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters_with_inertia(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode_and_decode(docs, public_tokenizers.path(PIECES), keep=["doc_id"])
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_nearest_neighbours, op4_simhash_near_duplicates,
     op5_source_mixing, op6_quality, op7_language_id, op8_secret_scan, op9_line_dedup,
-    op10_chat_formatting)}
+    op10_chat_formatting, op11_centroid_clustering, op12_sentencepiece, op13_filter_audit)}
+
+def _clustering_sql(count: int, rounds: int) -> str:
+    """The rounds one after another, every vector against every centroid."""
+    sql = [rf"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+v AS MATERIALIZED (
+  SELECT r, vec_id, generate_subscripts(embedding, 1) AS i,
+         CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM k),
+s0 AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), embedding) - 1 AS c FROM k),
+c0 AS MATERIALIZED (SELECT c, i, x FROM s0 JOIN v USING (r) WHERE c < {count})"""]
+    for n in range(rounds + 1):
+        sql.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, MIN(d * {count} + c) % {count} AS c, MIN(d * {count} + c) // {count} AS d FROM (
+    SELECT v.r, c{n}.c, SUM((v.x - c{n}.x) * (v.x - c{n}.x)) AS d FROM v JOIN c{n} USING (i) GROUP BY v.r, c{n}.c)
+  GROUP BY r)""")
+        if n < rounds:
+            sql.append(f"""
+m{n} AS (SELECT a.c, i, SUM(x) AS t, COUNT(*) AS n FROM v JOIN a{n} a USING (r) GROUP BY a.c, i),
+c{n + 1} AS MATERIALIZED (
+  SELECT o.c, o.i, CASE WHEN n IS NULL THEN o.x ELSE CAST((t - ((t % n) + n) % n) // n AS BIGINT) END AS x
+  FROM c{n} o LEFT JOIN m{n} m ON m.c = o.c AND m.i = o.i)""")
+    return ",".join(sql) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(SUM(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(SUM(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} a JOIN k USING (r)
+JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c) USING (c)
+"""
+
 
 ORACLES = {
     # Weights repeat by place; a source is stopped at 2 * size. With each = what a
@@ -127,5 +180,44 @@ SELECT conv_id, COUNT(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(SUM(length(r) + length(t) + 24) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
+""",
+    "op11_centroid_clustering": _clustering_sql(16, 3),
+    # every document in every order: the first failing filter is the least position
+    "op13_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT MIN(doc_id) AS lo, t FROM w GROUP BY t),
+g AS (SELECT doc_id, MAX(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, MAX(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+          100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > f.lo, false)] AS fails
+  FROM w JOIN f USING (t) LEFT JOIN g ON w.doc_id = g.doc_id),
+m AS (SELECT part, fails, COUNT(*) AS n, SUM(good) AS good, SUM(toxic) AS toxic FROM d GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM l a, l b, l x, l y, l z
+      WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+g2 AS (
+  SELECT part, filter_order, n, good, toxic, fails,
+         [fails[ascii(substr(filter_order, i, 1)) - 64] for i in [1, 2, 3, 4, 5]] AS by_step
+  FROM m, o),
+r AS (SELECT *, coalesce(list_position(by_step, true), 9) AS gone, len([x for x in fails if x]) AS n_fails FROM g2),
+q AS (
+  SELECT part, filter_order, CAST(s.step AS INTEGER) AS step, substr(filter_order, CAST(s.step AS INTEGER), 1) AS c,
+         SUM(CASE WHEN gone > step THEN n ELSE 0 END) AS kept,
+         SUM(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+         SUM(CASE WHEN gone < step AND by_step[step] THEN n ELSE 0 END) AS redundant,
+         SUM(CASE WHEN n_fails = 1 AND by_step[step] THEN n ELSE 0 END) AS unique_fails,
+         SUM(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost,
+         SUM(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r, range(1, 6) s(step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(SUM(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM q
 """,
 }
