@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the shared folder and read from there ever after."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame, written to the shared folder; its size is known to the plans that read it."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Whether a finished query's shuffle files go at once.
+CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled",
+           "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files of finished jobs go at once, not when the driver collects garbage.
+
+    For steps whose results are written or checkpointed: nothing reads their
+    shuffles again, and a large table's would fill the executors' disks.
+    """
+    before = {k: spark.conf.get(k, None) for k in CLEANUP}
+    try:
+        for key in CLEANUP:
+            spark.conf.set(key, "true")
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
