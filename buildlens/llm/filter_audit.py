@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .rows import map_rows
 
 #: The filters by letter; the last one asks about the whole table.
@@ -127,8 +128,9 @@ def mask_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col), F.lit("")).alias("part"),
                        F.col(text_col).alias("text"))
     read = map_rows(slim, ["text"], "mask int, digest binary", work, keep=["id", "part"])
-    # rows that agree in everything are one row with a count, before any shuffle
-    units = read.groupBy("digest", "id", "part", "mask").agg(F.count(F.lit(1)).alias("n"))
+    # Rows that agree in everything are one row with a count, combined before the
+    # shuffle. All that follows reads these narrow rows, so the texts are read once.
+    units = checkpointed(read.groupBy("digest", "id", "part", "mask").agg(F.count(F.lit(1)).alias("n")))
     firsts = units.groupBy("digest").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
     repeat = F.col("id").isNotNull() & F.col("first").isNull()
     judged = units.join(firsts, ["digest", "id"], "left").select(
