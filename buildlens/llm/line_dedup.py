@@ -5,22 +5,27 @@ line number), has a word set with a Jaccard similarity of at least 4/5. Only
 DataFrame functions are used.
 
 1. Equal lines become one row, their first occurrence. Copies are combined
-   before the shuffle and never meet in pairs.
+   before the shuffle and never meet in pairs. The rows, with the first of their
+   ordered words as numbers, are written once to the shared folder in buckets of
+   the line's key: later steps read the columns they need and join by line without
+   a shuffle. Shuffle files of finished steps are removed at once.
 2. Words are ordered by rarity: occurrences are counted in ``2 ** 16`` hash
    buckets over all texts, and a word's place in the order is its bucket's
    binary order of magnitude, then its hash. Any fixed order is exact; rare
    words first keep the groups below small.
-3. Two similar sets share a word among the first few of both (prefix filter),
+3. Lines that share two neighbouring words of their first three meet the earliest
+   of them only. Those that are similar to it are settled. This is linear, and
+   settles nearly all of a large group of similar lines.
+4. Two similar sets share a word among the first few of both (prefix filter),
    not too far from the start of either (positional filter), and have similar
    sizes (length filter). Each entry also has 64 or 128 parity bits of its set: the
    sets differ in at least as many words as these differ in bits. All four are
-   conditions of one join, so what leaves it is nearly the result.
-4. The candidates' word sets are compared in full, each line with its earliest
-   candidate first and only if that is not similar with the others.
+   conditions of one join, which lists no pair of two settled lines.
+5. The candidates' word sets are compared in full.
 
 Words are what single spaces, tabs, form feeds and carriage returns separate,
-known by 57 bits of their hash. Blank lines stay, and lines of fewer than ``least``
-words. Sets of up to three words are similar only to equal sets: their lines are
+known by 57 bits of their hash in the search and by 64 in the comparison. Blank lines stay, and lines of fewer than ``least``
+words. Lines are told apart by 128 bits. Sets of up to three words are similar only to equal sets: their lines are
 known by the set, so that step 1 settles them and they never enter the join. A
 line that white space does not part is one word, and only equal lines repeat it.
 
@@ -32,18 +37,22 @@ lines. Lines of any length take part whole.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..session import checkpointed, scratch_folder, shuffles_removed
 
 BUCKETS = 1 << 16
 #: What an entry of the join is for: looking for smaller sets, being found by larger ones.
 SEEKS, FOUND = 1, 2
 HASH_BITS = 57
-#: Sets of so many words have twice the parity bits.
-LARGE = 64
 #: Sets of up to so many words are similar only to equal ones.
 SMALL = 3
+#: Sets of so many words have twice the parity bits.
+LARGE = 64
 #: From so many words on, 128 parity bits are too few to part two sets of similar sizes.
 HUGE = 1024
 
@@ -61,11 +70,13 @@ def _words(line: Column) -> Column:
 
 def _full(line: Column, least: int) -> Column:
     """Whether a line has at least ``least`` words."""
+    if least <= 1:
+        return F.trim(line) != ""
     return F.rlike(line, F.lit(f"^ *+[^ ]++(?: ++[^ ]++){{{least - 1}}}"))
 
 
-def _line_key(line: Column) -> Column:
-    """What equal lines have in common; for lines with small sets, equal sets."""
+def _known_by(line: Column) -> Column:
+    """What equal lines have in common: the line; for lines with small sets, the set."""
 
     def words(pieces: Column) -> Column:
         return F.array_distinct(F.array_remove(pieces, ""))
@@ -74,32 +85,51 @@ def _line_key(line: Column) -> Column:
     few = F.size(words(F.slice(F.split(line, " ", 8), 1, 7))) <= SMALL
     small = few & (F.size(words(_words(line))) <= SMALL)
     # the marked set is no other line's text: a line has no line break
-    return F.xxhash64(F.when(small, F.concat(F.lit("\n"), F.array_join(
-        F.array_sort(words(_words(line))), " "))).otherwise(line))
+    return F.when(small, F.concat(F.lit("\n"), F.array_join(
+        F.array_sort(words(_words(line))), " "))).otherwise(line)
+
+
+def _early(kind, value: Column) -> Column:
+    """A number that grows with an id, if not always strictly; null first."""
+    if isinstance(kind, IntegralType):
+        number = value.cast("long")
+    else:
+        number = F.conv(F.rpad(F.substring(F.hex(value.cast("string")), 1, 14), 14, "0"), 16, 10).cast("long")
+    return F.coalesce(number, F.lit(-(1 << 63)).cast("long"))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, text_key, no, line) of all lines of at least ``least`` words."""
+    # The key and the lines before the generator: else it would carry the text
+    # along with each line, and the key be computed for each.
+    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
+                        F.split(_spaced(F.col(text_col)), "\n").alias("lines"))
+    lines = split.select("id", "text_key", F.posexplode("lines").alias("no", "line"))
+    # a line of ``least`` words has more characters than that; the cheap test comes first
+    return lines.filter((F.octet_length("line") >= 2 * least - 1) & _full(F.col("line"), least))
 
 
 def _rarity(docs: DataFrame, text: Column) -> Column:
-    """The order of magnitude of every bucket's count, a byte for each; of all texts' words."""
+    """The order of magnitude of every bucket's count, as an array; of all texts' words."""
     words = docs.select(F.explode(_words(F.replace(_spaced(text), F.lit("\n"), F.lit(" ")))).alias("w"))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = words.select(bucket.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     # one small number for each of a fixed number of buckets
     found = {r["b"]: r["n"].bit_length() for r in counts.collect()}
-    # one literal that all uses share: a folded array would be a copy for each
-    return F.lit(bytes(found.get(b, 0) for b in range(BUCKETS)))
+    # becomes one array literal, as only one expression uses it
+    ranks = F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS)))
+    return F.split(ranks, ",").cast("array<bigint>")
 
 
 def _ordered_set(line: Column, rarity: Column) -> Column:
     """A line's different words as numbers, rare ones first."""
 
-    def number(code: Column) -> Column:
-        place = code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-        rank = F.ascii(F.substring(rarity, place, 1).cast("string")).cast("long")
+    def number(word: Column) -> Column:
+        code = F.xxhash64(word)
+        rank = F.get(rarity, code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(rank, HASH_BITS).bitwiseOR(code.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    words = F.array_remove(_words(line), "")
-    codes = F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
-    return F.sort_array(F.transform(codes, number))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), number)))
 
 
 def _once(value: Column) -> Column:
@@ -122,68 +152,105 @@ def _parity(words: Column, half: int | None = None) -> Column:
 
 
 def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(key, m): each different line, or small set, and where it first occurs."""
-    lines = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
-        F.posexplode(F.split(_spaced(F.col(text_col)), "\n")).alias("no", "line"))
-    # a line of ``least`` words has more characters than that; the cheap test comes first
-    lines = lines.filter((F.octet_length("line") >= 2 * least - 1) & _full(F.col("line"), least))
-    return lines.groupBy(_line_key(F.col("line")).alias("key")).agg(
-        F.min(F.struct("id", "text_key", "no", "line")).alias("m"))
-
-
-def _entries(firsts: DataFrame, rarity: Column) -> DataFrame:
-    """(key, p0, p1, packed): the prefix of every line's set.
+    """Each different line, or small set, and where it first occurs; stored by key.
 
-    ``packed`` is the word, by 40 bits, the size class (4) it is looked for or
-    found under, the size of the set (10), the place of the word in it (8) and its
-    role (2). Two words that agree in their bits only make a candidate more.
-    Sets that are too large for this have size 0 there, and size and place
-    in ``p1`` instead of parity bits, which would tell nothing at that size.
+    (key, key2, id, text_key, no) of every line; itself, the ``prefix`` of its ordered
+    words, their number ``n``, parity bits ``p0`` and ``p1``, the bands of its first
+    three words and ``early``, all null if its words are few.
     """
-    sets = firsts.select("key", _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
-    sets = sets.filter(F.size("words") > SMALL)
-    size = F.size("words")
-    # at least 4/5 of a set must be in the other one
-    prefix = (size - F.ceil(size * 4 / 5) + 1).cast("int")
-    # before the generator: what stands beside it is computed for each of its rows
+    spark = docs.sparkSession
+    rarity = _rarity(docs, F.col(text_col))
+    lines = _lines(docs, id_col, text_col, least)
+    known = lines.select("id", "text_key", "no", "line", _once(_known_by(F.col("line"))).alias("known"))
+    firsts = known.groupBy(F.xxhash64("known").alias("key"), F.xxhash64(F.lit(1), "known").alias("key2")).agg(
+        F.min(F.struct("id", "text_key", "no", "line")).alias("m"))
+    sets = firsts.select("key", "key2", "m.id", "m.text_key", "m.no", "m.line",
+                         _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
+    n, words, none = F.size("words"), F.col("words"), F.lit(0).cast("long")
     # 64 bits tell sets of up to as many words apart, larger ones have 128; the
     # two halves of a large set's bits, combined, are its 64
-    large, none = size >= LARGE, F.lit(0).cast("long")
-    sets = sets.select(
-        "key", size.alias("n"),
-        F.when(large, _parity(F.col("words"), 0)).otherwise(_parity(F.col("words"))).alias("p0"),
-        F.when(large, _parity(F.col("words"), 1)).otherwise(none).alias("p1"), F.slice("words", F.lit(1), prefix).alias("prefix"))
-    entries = sets.select("key", "n", "p0", "p1", F.posexplode("prefix").alias("at", "word"))
-    # Sizes are classed by powers of 16. A set is looked for under its own class;
+    p0 = F.when(n >= LARGE, _parity(words, 0)).otherwise(_parity(words))
+    p1 = F.when(n >= LARGE, _parity(words, 1)).otherwise(none)
+    # at least 4/5 of a set must be in the other one
+    prefix = F.slice("words", F.lit(1), (n - F.ceil(n * 4 / 5) + 1).cast("int"))
+    bands = [F.xxhash64(words[i], words[i + 1]).alias(f"band{i}") for i in range(2)]
+    early = _early(docs.schema[id_col].dataType, F.col("id")).alias("early")
+    searched = [F.col("line"), n.alias("n"), p0.alias("p0"), p1.alias("p1"), prefix.alias("prefix"), early, *bands]
+    stored = sets.select("key", "key2", "id", "text_key", "no",
+                         F.when(n > SMALL, F.struct(*searched)).alias("s")).select(
+        "key", "key2", "id", "text_key", "no", "s.*")
+    # as many buckets as the shuffle has partitions: each is written by one task
+    name = f"lines_{uuid.uuid4().hex}"
+    stored.write.format("parquet").option("path", scratch_folder(spark, "lines")).option(
+        "compression", "zstd").bucketBy(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "key").saveAsTable(name)
+    table = spark.table(name)
+    # the files stay, and the frame knows them; only the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _settled_by_leaders(firsts: DataFrame) -> DataFrame:
+    """(key, key2): lines that are similar to the earliest of those they share two rare words with."""
+    bands = firsts.filter("n IS NOT NULL").select(
+        "key", "early", F.explode(F.array("band0", "band1")).alias("band"))
+    # the numbers of a group only, combined before the shuffle
+    leaders = bands.groupBy("band").agg(
+        F.min_by("key", "early").alias("leader"), F.min("early").alias("first"),
+        F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    met = bands.select("band", "key").join(leaders, "band").filter(F.col("key") != F.col("leader"))
+    pairs = checkpointed(met.groupBy("key").agg(F.min_by("leader", "first").alias("other")))
+    return checkpointed(_similar(pairs, firsts))
+
+
+def _entries(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """(key, p0, p1, packed): the prefix of every line's set.
+
+    ``packed`` is the word, by 39 bits, the size class (4) it is looked for or
+    found under, the size of the set (10), the place of the word in it (8), whether
+    the line is open (1) and its role (2). Two words that agree in their bits only
+    make a candidate more. Sets that are too large for this have size 0 there, and
+    size and place in ``p1`` instead of parity bits, which would tell nothing at
+    that size.
+    """
+    closed = settled.groupBy("key").agg(F.lit(False).alias("open"))
+    large = firsts.filter("n IS NOT NULL").select("key", "n", "p0", "p1", "prefix").join(closed, "key", "left")
+    size = F.col("n")
+    # Sizes are classed by powers of 4. A set is looked for under its own class;
     # as the smaller one it can be found there, with the words that 8/9 of it
     # allow, and under the class of the largest similar set where that differs.
     def scale_of(largest: Column) -> Column:
-        return F.floor(F.log(largest + 0.5) / math.log(16)).cast("int")
-
-    scale, upper = scale_of(F.col("n")), scale_of(F.col("n") * 5 / 4)
-    early = F.col("at") < F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
-    role = F.when(early, SEEKS + FOUND).otherwise(SEEKS)
-    own = F.struct(role.alias("role"), scale.alias("scale"))
-    following = F.struct(F.lit(FOUND).alias("role"), upper.alias("scale"))
-    entries = entries.select("key", "n", "p0", "p1", "at", "word", F.explode(
-        F.when(early & (upper > scale), F.array(own, following)).otherwise(F.array(own))).alias("as"))
+        return F.floor(F.log(largest + 0.5) / math.log(4)).cast("int")
+
+    # before the generator: what stands beside it is computed for each of its rows
+    sets = large.select(
+        "key", F.coalesce("open", F.lit(True)).cast("long").alias("open"), "n", "p0", "p1",
+        scale_of(size).alias("scale"), scale_of(size * 5 / 4).alias("upper"),
+        (size - F.ceil(size * 8 / 9) + 1).cast("int").alias("found"), "prefix")
+    entries = sets.select("key", "open", "n", "p0", "p1", "scale", "upper", "found",
+                          F.posexplode("prefix").alias("at", "word"))
+    early = F.col("at") < F.col("found")
+    # role and class in one number
+    own = F.when(early, SEEKS + FOUND).otherwise(SEEKS) + 4 * F.col("scale")
+    following = FOUND + 4 * F.col("upper")
+    entries = entries.select("key", "open", "n", "p0", "p1", "at", "word", F.explode(
+        F.when(early & (F.col("upper") > F.col("scale")), F.array(own, following)).otherwise(F.array(own))).alias("as"))
     # a class is below 16: sizes are below 2 ** 31
-    word = F.shiftleft(F.col("word").bitwiseAND(F.lit((1 << 40) - 1)), 4).bitwiseOR(
-        F.col("as.scale").cast("long"))
+    word = F.shiftleft(F.col("word").bitwiseAND(F.lit((1 << 39) - 1)), 4).bitwiseOR(
+        F.shiftright("as", 2).cast("long"))
     n, at = F.col("n").cast("long"), F.col("at").cast("long")
     huge = F.col("n") >= HUGE
-    here = F.when(huge, none).otherwise(F.shiftleft(n, 10).bitwiseOR(F.shiftleft(at, 2)))
+    here = F.when(huge, F.lit(0).cast("long")).otherwise(F.shiftleft(n, 11).bitwiseOR(F.shiftleft(at, 3)))
+    role = F.col("as").bitwiseAND(F.lit(3)).cast("long")
     return entries.select(
         "key", "p0", F.when(huge, F.shiftleft(n, 32).bitwiseOR(at)).otherwise(F.col("p1")).alias("p1"),
-        F.shiftleft(word, 20).bitwiseOR(here).bitwiseOR(F.col("as.role").cast("long")).alias("packed"))
+        F.shiftleft(word, 21).bitwiseOR(here).bitwiseOR(F.shiftleft("open", 2)).bitwiseOR(role).alias("packed"))
 
 
-def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
-    """(a, b): keys of lines that pass all filters, the smaller set first."""
+def _candidates(entries: DataFrame) -> DataFrame:
+    """(key, other): lines that pass all filters, one of them open."""
     # Both sides of the join use every column and no side is filtered before
     # it, so both read one and the same shuffle.
-    entries = _entries(firsts, rarity)
     a, b = entries.alias("a"), entries.alias("b")
 
     def bits(value: Column, low: int, count: int) -> Column:
@@ -191,14 +258,15 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
 
     def size_and_place(side: str) -> tuple[Column, Column, Column]:
         packed, p1 = F.col(f"{side}.packed"), F.col(f"{side}.p1")
-        huge = bits(packed, 10, 10) == 0
-        return (huge, F.when(huge, bits(p1, 32, 31)).otherwise(bits(packed, 10, 10)),
-                F.when(huge, bits(p1, 0, 32)).otherwise(bits(packed, 2, 8)))
+        huge = bits(packed, 11, 10) == 0
+        return (huge, F.when(huge, bits(p1, 32, 31)).otherwise(bits(packed, 11, 10)),
+                F.when(huge, bits(p1, 0, 32)).otherwise(bits(packed, 3, 8)))
 
     (huge_a, n, at_a), (huge_b, m, at_b) = size_and_place("a"), size_and_place("b")
     # an overlap of 4/9 of both sizes together is a similarity of 4/5
-    shared = F.shiftrightunsigned("a.packed", 20) == F.shiftrightunsigned("b.packed", 20)
+    shared = F.shiftrightunsigned("a.packed", 21) == F.shiftrightunsigned("b.packed", 21)
     roles = bits(F.col("a.packed"), 1, 1).bitwiseAND(F.col("b.packed")) == 1
+    either = bits(F.col("a.packed").bitwiseOR(F.col("b.packed")), 2, 1) == 1
     order = (n < m) | ((n == m) & (F.col("a.key") < F.col("b.key")))
     length = 5 * n >= 4 * m
     rest = F.least(n - at_a, m - at_b)
@@ -208,49 +276,36 @@ def _candidates(firsts: DataFrame, rarity: Column) -> DataFrame:
     differ = F.when(n >= LARGE, F.bit_count(p0) + F.bit_count(p1)).otherwise(
         F.bit_count(p0.bitwiseXOR(p1)))
     parity = huge_a | huge_b | (9 * differ <= n + m)
-    return a.join(b, shared & roles & order & length & parity & position).select(
-        F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-
-
-def _similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(later): the later lines of those pairs whose word sets are similar, compared in full."""
-    one = known.select(F.col("ref").alias("ref_e"), F.col("line").alias("line_e"), F.col("n").alias("n_e"))
-    other = known.select(F.col("ref").alias("ref_l"), F.col("line").alias("line_l"), F.col("n").alias("n_l"))
-    both = F.size(F.array_remove(F.array_intersect(_words(F.col("line_e")), _words(F.col("line_l"))), ""))
-    referred = pairs.select(
-        "later", F.bitwise_not("earlier").alias("ref_e"), F.bitwise_not("later").alias("ref_l"))
-    return referred.join(one, "ref_e").join(other, "ref_l").filter(
-        9 * both >= 4 * (F.col("n_e") + F.col("n_l"))).select("later").distinct()
-
-
-def _repeats(firsts: DataFrame, rarity: Column) -> DataFrame:
-    """(key): lines with a similar line before them.
-
-    Every line is compared with its earliest candidate first: in a group of
-    similar lines that settles nearly all of them. Only lines that it does not
-    settle are compared with all their candidates.
-    """
-    pairs = _candidates(firsts, rarity)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # Each line once: all comparisons read this shuffle. It is by another column
-    # than the key, or it would be left out as the lines lie by key already,
-    # and each comparison would read all lines again.
-    known = firsts.join(wanted, "key").select(
-        F.bitwise_not("key").alias("ref"), "m.line", F.size(F.array_distinct(F.array_remove(_words(F.col("m.line")), ""))).alias("n")
-    ).repartition("ref")
-    # not narrowed to the wanted ones: that would plan the search for candidates twice more
-    places = firsts.select("key", F.struct("m.id", "m.text_key", "m.no").alias("first"))
-    placed = pairs.join(places.select(F.col("key").alias("a"), F.col("first").alias("first_a")), "a").join(
-        places.select(F.col("key").alias("b"), F.col("first").alias("first_b")), "b")
-    swap = F.col("first_a") > F.col("first_b")
-    placed = placed.select(
-        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later"),
-        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"),
-        F.least("first_a", "first_b").alias("first"))
-    nearest = placed.groupBy("later").agg(F.min(F.struct("first", "earlier")).alias("least"))
-    settled = _similar(nearest.select("later", "least.earlier"), known)
-    rest = placed.select("later", "earlier").join(settled, "later", "left_anti")
-    return settled.union(_similar(rest, known)).withColumnRenamed("later", "key")
+    return a.join(b, shared & roles & either & order & length & parity & position).select(
+        F.col("a.key").alias("key"), F.col("b.key").alias("other")).distinct()
+
+
+def _similar(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, key2): the later line of each of those pairs whose word sets are similar, compared in full."""
+    wanted = pairs.select(F.explode(F.array("key", "other")).alias("key")).distinct()
+    place = F.struct("id", "text_key", "no")
+    # Each line once: both sides read this shuffle. It is by another column than
+    # the key, or it would be left out, and a line with very many partners could
+    # not be split.
+    words = F.transform(F.array_remove(_words(F.col("line")), ""), lambda word: F.xxhash64(word))
+    known = firsts.filter("n IS NOT NULL").join(wanted, "key").select(
+        F.bitwise_not("key").alias("ref"), "key2", place.alias("place"),
+        F.array_distinct(words).alias("words")).repartition("ref")
+    one, other = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in known.columns]) for side in "ab")
+    n, m = F.size("words_a"), F.size("words_b")
+    both = F.size(F.array_intersect("words_a", "words_b"))
+    later = F.col("place_a") > F.col("place_b")
+    referred = pairs.select(F.bitwise_not("key").alias("ref_a"), F.bitwise_not("other").alias("ref_b"))
+    found = referred.join(one, "ref_a").join(other, "ref_b").filter(9 * both >= 4 * (n + m))
+    return found.select(F.bitwise_not(F.when(later, F.col("ref_a")).otherwise(F.col("ref_b"))).alias("key"),
+                        F.when(later, F.col("key2_a")).otherwise(F.col("key2_b")).alias("key2")).distinct()
+
+
+def _repeats(firsts: DataFrame) -> DataFrame:
+    """(key, key2): lines with a similar line before them."""
+    settled = _settled_by_leaders(firsts)
+    pairs = checkpointed(_candidates(_entries(firsts, settled)))
+    return checkpointed(settled.union(_similar(pairs, firsts)).distinct())
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -259,40 +314,39 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents of which no full line stays are not listed.
     """
-    # a table with one row for each different line; the join, the comparison
-    # and the final step all read the same shuffle
-    firsts = _first_lines(docs, id_col, text_col, least)
-    repeats = _repeats(firsts, _rarity(docs, F.col(text_col)))
-    stay = firsts.join(repeats, "key", "left_anti")
+    with shuffles_removed(docs.sparkSession):
+        firsts = _first_lines(docs, id_col, text_col, least)
+        repeats = _repeats(firsts)
+    stay = firsts.join(repeats, ["key", "key2"], "left_anti")
     # lines of one document lie scattered, so lists begun before the shuffle
     # would only be wider than the numbers
-    stay = stay.select("m.id", "m.text_key", "m.no").repartition("id", "text_key")
+    stay = stay.select("id", "text_key", "no").repartition("id", "text_key")
     return stay.groupBy("id", "text_key").agg(F.collect_list("no").alias("kept"))
 
 
 def _joined(docs: DataFrame, kept: DataFrame, id_col: str, text_key: Column) -> DataFrame:
     """``docs`` with ``_kept``, an empty array where nothing is kept."""
     here = docs.withColumn("_text_key", text_key)
-    on = F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_text_key") == F.col("text_key"))
-    return here.join(kept, on, "left").withColumn(
-        "_kept", F.coalesce("kept", F.array().cast("array<int>"))).drop("id", "text_key", "kept", "_text_key")
+    found = kept.select(F.col("id").alias("_doc"), F.col("text_key").alias("_its_key"), F.col("kept").alias("_kept"))
+    on = F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_its_key"))
+    return here.join(found, on, "left").withColumn(
+        "_kept", F.coalesce("_kept", F.array().cast("array<int>"))).drop("_doc", "_its_key", "_text_key")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   least: int = 5) -> DataFrame:
     """(id, n_lines, n_removed, removed) of every row; line numbers from 0, ascending."""
     kept = kept_lines(docs, id_col, text_col, least)
-    lines = F.split(_spaced(F.col(text_col)), "\n")
-    full = F.filter(F.transform(lines, lambda line, i: F.when(_full(line, least), i)),
+    split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"),
+                        _once(F.split(_spaced(F.col(text_col)), "\n")).alias("_lines"))
+    full = F.filter(F.transform("_lines", lambda line, i: F.when(_full(line, least), i)),
                     lambda i: i.isNotNull())
-    slim = docs.select(
-        id_col, F.xxhash64(text_col).alias("_key"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+    slim = split.select(
+        "_id", "_key", F.greatest(F.coalesce(F.size("_lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(full, F.array().cast("array<int>")).alias("_full"))
-    slim = slim.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-    joined = _joined(slim, kept, id_col, F.col("_key"))
+    joined = _joined(slim, kept, "_id", F.col("_key"))
     removed = F.array_except("_full", "_kept")
-    return joined.select(id_col, "n_lines", F.size(removed).cast("long").alias("n_removed"),
+    return joined.select(F.col("_id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"),
                          removed.alias("removed"))
 
 
