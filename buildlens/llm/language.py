@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .rows import map_rows
 
 BINS = 1 << 14
@@ -265,8 +265,14 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
     # all that a verdict depends on: rows that agree in the key have one verdict.
     # A hash leaves nulls out, so it is told where they are.
     judged = ["doc_id", "text", "lang", "source"]
-    key = F.xxhash64(*judged, *[F.col(c).isNull() for c in judged])
-    rows = docs.select(key.alias("_key"), "text", primary_tag(F.col("lang")).alias("declared"),
+    told = [*judged, *[F.col(c).isNull() for c in judged]]
+    key = F.concat(F.hex(F.xxhash64(*told)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *told)))
+    rows = docs.select(key.alias("key"), "text", primary_tag(F.col("lang")).alias("declared"),
                        F.col("source").alias("host"))
-    rejected = identify(rows, "text", "declared", "host", keep=["_key"]).filter(~F.col("accepted"))
-    return docs.join(rejected.select("_key").distinct(), key == F.col("_key"), "left_anti")
+    rejected = identify(rows, "text", "declared", "host", keep=["key"]).filter(~F.col("accepted"))
+    # Written first: a few rejected rows are then known to be few, and the texts
+    # are not shuffled to leave them out.
+    rejected = stored(rejected.select("key").distinct(), "rejected")
+    # packed, so that no column of the documents is taken for one of these
+    packed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return packed.join(rejected, "key", "left_anti").select("row.*")
