@@ -178,13 +178,15 @@ def first_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """The rows that ``found`` (id, component_id) names as first; see ``keep_one``."""
     found = checkpointed(found)
     first = F.col(id_col).eqNullSafe(F.col("component_id"))
-    mine = found.groupBy(id_col).agg(
+    mine = found.groupBy(F.col(id_col).alias("kept")).agg(
         F.max(first).alias("first"), F.count(F.lit(1)).alias("copies"))
-    mine = checkpointed(mine.filter("first").select(F.col(id_col).alias("_kept"), "copies"))
-    once = docs.join(mine.filter((F.col("copies") == 1) | F.col("_kept").isNull()),
-                     F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    again = docs.join(mine.filter((F.col("copies") > 1) & F.col("_kept").isNotNull()),
-                      F.col(id_col) == F.col("_kept"), "left_semi")
+    mine = checkpointed(mine.filter("first").drop("first"))
+    # packed, so that no column of the documents is taken for one of these
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    once = packed.join(mine.filter((F.col("copies") == 1) | F.col("kept").isNull()),
+                       F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    again = packed.join(mine.filter((F.col("copies") > 1) & F.col("kept").isNotNull()),
+                        F.col("id") == F.col("kept"), "left_semi").select("row.*")
     return once.unionByName(_first_of_id(again, id_col))
 
 

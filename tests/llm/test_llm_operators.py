@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from buildlens.llm import (
-    chat, decontaminate, language, line_dedup, mixing, near_copies, neighbours, quality, queries,
+    chat, decontaminate, language, line_dedup, mixing, neighbours, quality, queries,
     secrets, simhash, token_counts)
 
 TEXTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -235,52 +235,6 @@ def test_simhash_of_odd_rows_keeps_one_of_each_group(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
-# -- near copies -----------------------------------------------------------------------
-def five_word_similarity(a, b):
-    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(a & b) / len(a | b)
-
-
-def test_near_copies_of_planted_texts_all_go(spark, sf_dir):
-    import corpus_pipeline
-
-    rand = random.Random(11)
-    base = [" ".join(f"w{rand.randrange(10 ** 6)}" for _ in range(rand.randint(60, 600))) for _ in range(120)]
-    rows, near, far = list(enumerate(base)), set(), set()
-    for i, text in enumerate(base):
-        for share in (0.005, 0.01, 0.02, 0.06, 0.12):
-            words = text.split()
-            for at in rand.sample(range(len(words)), max(1, int(share * len(words)))):
-                words[at] = f"x{rand.randrange(10 ** 6)}"
-            doc_id, copy = 1000 + len(rows), " ".join(words)
-            (near if five_word_similarity(text, copy) >= 0.8 else far).add(doc_id)
-            rows.append((doc_id, copy))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, sf_dir).collect()}
-    assert set(range(len(base))) <= kept and len(near) > 200 and len(far) > 50
-    print("near copies", len(near), "kept", len(near & kept))
-    assert not near & kept
-    # texts far from their original go only if they are near another one
-    texts = dict(rows)
-    assert all(any(five_word_similarity(texts[d], texts[o]) >= 0.8 for o in texts if o != d)
-               for d in far - kept)
-
-
-def test_near_copies_link_what_only_the_middle_links(spark):
-    words = [f"w{i}" for i in range(200)]
-    texts = [" ".join(words[at:at + 100]) for at in range(0, 60, 6)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert five_word_similarity(texts[0], texts[1]) >= 0.8 > five_word_similarity(texts[0], texts[2])
-    assert [r["doc_id"] for r in near_copies.keep_one(df).collect()] == [0]
-
-
-def test_near_copies_of_odd_rows(spark, odd):
-    kept = near_copies.keep_one(odd)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 7]
-    assert kept.columns == odd.columns
-    assert near_copies.keep_one(odd.limit(0)).count() == 0
-
-
 # -- mixing ------------------------------------------------------------------------------
 def test_mix_reaches_targets_and_reruns_agree(spark, sf_dir):
     rows = queries.op5_source_mixing(spark, sf_dir).collect()
