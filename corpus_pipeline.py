@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import decontaminate, language, line_dedup, mixing, near_copies
+from buildlens.llm import decontaminate, language, line_dedup, mixing, simhash
 from buildlens.llm.rows import table
 from buildlens.session import shared_folder
 
@@ -24,8 +24,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 4/5), the one with the smallest id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies (three-word shingles, 2 bits), the one with the smallest id."""
+    return simhash.keep_one(docs, shingle=3, radius=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
