@@ -25,7 +25,9 @@ DataFrame functions are used.
 
 Words are what single spaces, tabs, form feeds and carriage returns separate,
 known by 57 bits of their hash in the search and by 64 in the comparison. Blank lines stay, and lines of fewer than ``least``
-words. Lines are told apart by 128 bits. Sets of up to three words are similar only to equal sets: their lines are
+words. Lines are
+known by 64 bits of their hash; different lines of the same 64 bits, told by 64
+others, all stay. Sets of up to three words are similar only to equal sets: their lines are
 known by the set, so that step 1 settles them and they never enter the join. A
 line that white space does not part is one word, and only equal lines repeat it.
 
@@ -89,6 +91,10 @@ def _known_by(line: Column) -> Column:
         F.array_sort(words(_words(line))), " "))).otherwise(line)
 
 
+def _key(known: Column) -> Column:
+    return F.xxhash64(known)
+
+
 def _early(kind, value: Column) -> Column:
     """A number that grows with an id, if not always strictly; null first."""
     if isinstance(kind, IntegralType):
@@ -154,7 +160,8 @@ def _parity(words: Column, half: int | None = None) -> Column:
 def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """Each different line, or small set, and where it first occurs; stored by key.
 
-    (key, key2, id, text_key, no) of every line; itself, the ``prefix`` of its ordered
+    (key, mixed, id, text_key, no) of every line, ``mixed`` if another line has its
+    key; itself, the ``prefix`` of its ordered
     words, their number ``n``, parity bits ``p0`` and ``p1``, the bands of its first
     three words and ``early``, all null if its words are few.
     """
@@ -162,9 +169,11 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
     rarity = _rarity(docs, F.col(text_col))
     lines = _lines(docs, id_col, text_col, least)
     known = lines.select("id", "text_key", "no", "line", _once(_known_by(F.col("line"))).alias("known"))
-    firsts = known.groupBy(F.xxhash64("known").alias("key"), F.xxhash64(F.lit(1), "known").alias("key2")).agg(
-        F.min(F.struct("id", "text_key", "no", "line")).alias("m"))
-    sets = firsts.select("key", "key2", "m.id", "m.text_key", "m.no", "m.line",
+    # by the key alone, so that a task's rows are those of one bucket
+    other = F.xxhash64(F.lit(1), "known")
+    firsts = known.groupBy(_key(F.col("known")).alias("key")).agg(
+        F.min(F.struct("id", "text_key", "no", "line")).alias("m"), (F.min(other) != F.max(other)).alias("mixed"))
+    sets = firsts.select("key", "mixed", "m.id", "m.text_key", "m.no", "m.line",
                          _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
     n, words, none = F.size("words"), F.col("words"), F.lit(0).cast("long")
     # 64 bits tell sets of up to as many words apart, larger ones have 128; the
@@ -176,9 +185,9 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
     bands = [F.xxhash64(words[i], words[i + 1]).alias(f"band{i}") for i in range(2)]
     early = _early(docs.schema[id_col].dataType, F.col("id")).alias("early")
     searched = [F.col("line"), n.alias("n"), p0.alias("p0"), p1.alias("p1"), prefix.alias("prefix"), early, *bands]
-    stored = sets.select("key", "key2", "id", "text_key", "no",
-                         F.when(n > SMALL, F.struct(*searched)).alias("s")).select(
-        "key", "key2", "id", "text_key", "no", "s.*")
+    stored = sets.select("key", "mixed", "id", "text_key", "no",
+                         F.when((n > SMALL) & ~F.col("mixed"), F.struct(*searched)).alias("s")).select(
+        "key", "mixed", "id", "text_key", "no", "s.*")
     # as many buckets as the shuffle has partitions: each is written by one task
     name = f"lines_{uuid.uuid4().hex}"
     stored.write.format("parquet").option("path", scratch_folder(spark, "lines")).option(
@@ -191,7 +200,7 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
 
 
 def _settled_by_leaders(firsts: DataFrame) -> DataFrame:
-    """(key, key2): lines that are similar to the earliest of those they share two rare words with."""
+    """(key): lines that are similar to the earliest of those they share two rare words with."""
     bands = firsts.filter("n IS NOT NULL").select(
         "key", "early", F.explode(F.array("band0", "band1")).alias("band"))
     # the numbers of a group only, combined before the shuffle
@@ -213,7 +222,7 @@ def _entries(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     size and place in ``p1`` instead of parity bits, which would tell nothing at
     that size.
     """
-    closed = settled.groupBy("key").agg(F.lit(False).alias("open"))
+    closed = settled.withColumn("open", F.lit(False))
     large = firsts.filter("n IS NOT NULL").select("key", "n", "p0", "p1", "prefix").join(closed, "key", "left")
     size = F.col("n")
     # Sizes are classed by powers of 4. A set is looked for under its own class;
@@ -281,7 +290,7 @@ def _candidates(entries: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(key, key2): the later line of each of those pairs whose word sets are similar, compared in full."""
+    """(key): the later line of each of those pairs whose word sets are similar, compared in full."""
     wanted = pairs.select(F.explode(F.array("key", "other")).alias("key")).distinct()
     place = F.struct("id", "text_key", "no")
     # Each line once: both sides read this shuffle. It is by another column than
@@ -289,7 +298,7 @@ def _similar(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     # not be split.
     words = F.transform(F.array_remove(_words(F.col("line")), ""), lambda word: F.xxhash64(word))
     known = firsts.filter("n IS NOT NULL").join(wanted, "key").select(
-        F.bitwise_not("key").alias("ref"), "key2", place.alias("place"),
+        F.bitwise_not("key").alias("ref"), place.alias("place"),
         F.array_distinct(words).alias("words")).repartition("ref")
     one, other = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in known.columns]) for side in "ab")
     n, m = F.size("words_a"), F.size("words_b")
@@ -297,12 +306,12 @@ def _similar(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     later = F.col("place_a") > F.col("place_b")
     referred = pairs.select(F.bitwise_not("key").alias("ref_a"), F.bitwise_not("other").alias("ref_b"))
     found = referred.join(one, "ref_a").join(other, "ref_b").filter(9 * both >= 4 * (n + m))
-    return found.select(F.bitwise_not(F.when(later, F.col("ref_a")).otherwise(F.col("ref_b"))).alias("key"),
-                        F.when(later, F.col("key2_a")).otherwise(F.col("key2_b")).alias("key2")).distinct()
+    return found.select(F.bitwise_not(
+        F.when(later, F.col("ref_a")).otherwise(F.col("ref_b"))).alias("key")).distinct()
 
 
 def _repeats(firsts: DataFrame) -> DataFrame:
-    """(key, key2): lines with a similar line before them."""
+    """(key): lines with a similar line before them."""
     settled = _settled_by_leaders(firsts)
     pairs = checkpointed(_candidates(_entries(firsts, settled)))
     return checkpointed(settled.union(_similar(pairs, firsts)).distinct())
@@ -317,10 +326,14 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with shuffles_removed(docs.sparkSession):
         firsts = _first_lines(docs, id_col, text_col, least)
         repeats = _repeats(firsts)
-    stay = firsts.join(repeats, ["key", "key2"], "left_anti")
+    stay = firsts.filter("NOT mixed").join(repeats, "key", "left_anti").select("id", "text_key", "no")
+    mixed = firsts.filter("mixed").select("key")
+    if not mixed.isEmpty():
+        lines = _lines(docs, id_col, text_col, least).withColumn("key", _key(_known_by(F.col("line"))))
+        stay = stay.union(lines.join(mixed, "key", "left_semi").select("id", "text_key", "no"))
     # lines of one document lie scattered, so lists begun before the shuffle
     # would only be wider than the numbers
-    stay = stay.select("id", "text_key", "no").repartition("id", "text_key")
+    stay = stay.repartition("id", "text_key")
     return stay.groupBy("id", "text_key").agg(F.collect_list("no").alias("kept"))
 
 

@@ -559,3 +559,14 @@ def test_chats_read_back_exactly(spark):
         assert [tuple(t) for t in r["turns"]] == mine
         assert r["loss_texts"] == [said for role, said in mine if role == "assistant"]
         assert r["formatted"].count(chat.START) == len(mine)
+
+
+def test_different_lines_of_one_key_all_stay(spark, monkeypatch):
+    words = [f"w{i} x{i} y{i} z{i} v{i}" for i in range(4)]
+    df = spark.createDataFrame([(1, "\n".join(words)), (2, words[0])], "doc_id long, text string")
+    # a key of two values only: each is that of several lines
+    monkeypatch.setattr(line_dedup, "_key", lambda known: F.xxhash64(known) % 2)
+    kept = {r["id"]: sorted(r["kept"]) for r in line_dedup.kept_lines(df, least=1).collect()}
+    monkeypatch.undo()
+    assert kept[1] == [0, 1, 2, 3]
+    assert [r["n_removed"] for r in line_dedup.removed_lines(df, least=1).orderBy("doc_id").collect()] == [0, 1]
