@@ -20,15 +20,22 @@ KEYS = ["proj", "exp", "iter"]
 _TINY = 1e-10  # fixed value: keeps F1 defined where precision and recall are 0
 
 
+def usable(df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
+    """The rows that take part in every measure here: a null key, a null label or a
+    null or NaN score counts for none of them."""
+    for needed in [*keys, "p", "y"]:
+        df = df.filter(F.col(needed).isNotNull())
+    return df.filter(~F.isnan("p"))
+
+
 def sweep(df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     """One row per key and distinct score: counts at the score, counts at or
     above it (``tp``, ``seen``) and key totals (``pos_all``, ``n_all``).
 
-    Rows with a null key, or a null or NaN score, take no part."""
+    Only ``usable`` rows take part."""
     keys = list(keys)
-    for needed in [*keys, "p"]:
-        df = df.filter(F.col(needed).isNotNull())
-    groups = df.filter(~F.isnan("p")).groupBy(*keys, "p").agg(
+    df = usable(df, keys)
+    groups = df.groupBy(*keys, "p").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos"))
     if not any_hot(df, keys):
         # few enough scores per key for one task: totals share the sort's exchange
@@ -66,7 +73,7 @@ def pr_curve(df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     points = sweep(df, keys).select(
         *keys, F.col("p").alias("threshold"), _precision().alias("precision"),
         _recall().alias("recall"))
-    ends = df.select(*keys).distinct().select(
+    ends = usable(df, keys).select(*keys).distinct().select(
         *keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"))
     return points.union(ends)
@@ -108,7 +115,7 @@ def roc_curve(df: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     points = sweep(df, keys).select(
         *keys, F.col("p").alias("threshold"), F.try_divide(fp, neg).alias("fpr"),
         F.try_divide(F.col("tp"), F.col("pos_all")).alias("tpr"))
-    start = df.select(*keys).distinct().select(
+    start = usable(df, keys).select(*keys).distinct().select(
         *keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"))
     return points.union(start)
@@ -162,8 +169,9 @@ def _confusion(tp: Column, fp: Column, fn: Column, n: Column) -> list[Column]:
 def confusion_metrics(
     df: DataFrame, threshold: float | Column = 0.5, keys: Iterable[str] = KEYS
 ) -> DataFrame:
-    """Accuracy, precision, recall and F1; 0 where undefined."""
+    """Accuracy, precision, recall and F1 of the usable rows; 0 where undefined."""
     keys = list(keys)
+    df = usable(df, keys)
     said, y = C.to_label(F.col("p"), threshold), F.col("y")
     counts = df.groupBy(*keys).agg(
         F.count_if((said == 1) & (y == 1)).alias("_tp"),

@@ -291,3 +291,18 @@ def test_short_keys_are_padded_before_balancing(spark):
     assert padded.filter("i <= 0 AND build_failed = 0 AND v = array(0D, 0D)").count() == 5
     # 6 passed to 2 failed: 4 synthetic rows, and 12 - 8 windows
     assert B.smote_windows(df, ["k"], "v", "i", 8).count() == 4
+
+
+def test_unusable_scores_count_for_no_measure(spark):
+    from buildlens.operators import evaluate
+
+    nan = float("nan")
+    good = [("a", 1, 1, 1, 0.9), ("a", 1, 1, 0, 0.1), ("a", 1, 1, 0, 0.7)]
+    bad = [("a", 1, 1, 0, None), ("a", 1, 1, 0, nan), ("a", 1, 1, 1, nan), ("a", 1, 1, None, 0.8),
+           (None, 1, 1, 1, 0.4), ("b", 1, 1, 0, None), ("c", None, 1, 1, 0.2)]
+    schema = "proj string, exp int, iter int, y int, p double"
+    some, every = (spark.createDataFrame(rows, schema) for rows in (good, good + bad))
+    for measure in (evaluate.pr_curve, evaluate.roc_curve, evaluate.best_threshold, evaluate.roc_auc,
+                    evaluate.average_precision, evaluate.pr_auc_trapezoid, evaluate.confusion_metrics,
+                    evaluate.metric_entries):
+        assert sorted(map(repr, measure(every).collect())) == sorted(map(repr, measure(some).collect()))
