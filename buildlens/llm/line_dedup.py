@@ -13,9 +13,10 @@ DataFrame functions are used.
    buckets over all texts, and a word's place in the order is its bucket's
    binary order of magnitude, then its hash. Any fixed order is exact; rare
    words first keep the groups below small.
-3. Lines that share two neighbouring words of their first three meet the earliest
-   of them only. Those that are similar to it are settled. This is linear, and
-   settles nearly all of a large group of similar lines.
+3. Lines that share the three least or the three greatest words, in one of three
+   pseudorandom orders, meet the earliest of them only. Those that are similar to
+   it are settled. This is linear, and settles nearly all of a large group of
+   similar lines.
 4. Two similar sets share a word among the first few of both (prefix filter),
    not too far from the start of either (positional filter), and have similar
    sizes (length filter). Each entry also has 64 or 128 parity bits of its set: the
@@ -157,13 +158,23 @@ def _parity(words: Column, half: int | None = None) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), flip)
 
 
+def _bands(words: Column) -> Column:
+    """Hashes of the three least and the three greatest words in three pseudorandom orders."""
+    bands = []
+    for k in range(3):
+        order = F.sort_array(F.transform(words, lambda word: F.xxhash64(F.lit(k), word)))  # noqa: B023
+        bands.append(F.transform(F.array(order), lambda o: F.array(
+            F.xxhash64(F.slice(o, 1, 3)), F.xxhash64(F.slice(o, -3, 3))))[0])
+    return F.flatten(F.array(*bands))
+
+
 def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """Each different line, or small set, and where it first occurs; stored by key.
 
     (key, mixed, id, text_key, no) of every line, ``mixed`` if another line has its
     key; itself, the ``prefix`` of its ordered
-    words, their number ``n``, parity bits ``p0`` and ``p1``, the bands of its first
-    three words and ``early``, all null if its words are few.
+    words, their number ``n``, parity bits ``p0`` and ``p1``, its ``bands`` and ``early``,
+    all null if its words are few.
     """
     spark = docs.sparkSession
     rarity = _rarity(docs, F.col(text_col))
@@ -182,9 +193,8 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
     p1 = F.when(n >= LARGE, _parity(words, 1)).otherwise(none)
     # at least 4/5 of a set must be in the other one
     prefix = F.slice("words", F.lit(1), (n - F.ceil(n * 4 / 5) + 1).cast("int"))
-    bands = [F.xxhash64(words[i], words[i + 1]).alias(f"band{i}") for i in range(2)]
     early = _early(docs.schema[id_col].dataType, F.col("id")).alias("early")
-    searched = [F.col("line"), n.alias("n"), p0.alias("p0"), p1.alias("p1"), prefix.alias("prefix"), early, *bands]
+    searched = [F.col("line"), n.alias("n"), p0.alias("p0"), p1.alias("p1"), prefix.alias("prefix"), early, _bands(words).alias("bands")]
     stored = sets.select("key", "mixed", "id", "text_key", "no",
                          F.when((n > SMALL) & ~F.col("mixed"), F.struct(*searched)).alias("s")).select(
         "key", "mixed", "id", "text_key", "no", "s.*")
@@ -200,9 +210,9 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
 
 
 def _settled_by_leaders(firsts: DataFrame) -> DataFrame:
-    """(key): lines that are similar to the earliest of those they share two rare words with."""
+    """(key): lines that are similar to the earliest of those they share a band with."""
     bands = firsts.filter("n IS NOT NULL").select(
-        "key", "early", F.explode(F.array("band0", "band1")).alias("band"))
+        "key", "early", F.explode("bands").alias("band"))
     # the numbers of a group only, combined before the shuffle
     leaders = bands.groupBy("band").agg(
         F.min_by("key", "early").alias("leader"), F.min("early").alias("first"),
