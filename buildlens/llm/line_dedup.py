@@ -215,10 +215,10 @@ def _settled_by_leaders(firsts: DataFrame) -> DataFrame:
         "key", "early", F.explode("bands").alias("band"))
     # the numbers of a group only, combined before the shuffle
     leaders = bands.groupBy("band").agg(
-        F.min_by("key", "early").alias("leader"), F.min("early").alias("first"),
-        F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        F.min_by("key", "early").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = bands.select("band", "key").join(leaders, "band").filter(F.col("key") != F.col("leader"))
-    pairs = checkpointed(met.groupBy("key").agg(F.min_by("leader", "first").alias("other")))
+    # a line's leaders are at most as many as its bands
+    pairs = checkpointed(met.select("key", F.col("leader").alias("other")).distinct())
     return checkpointed(_similar(pairs, firsts))
 
 
