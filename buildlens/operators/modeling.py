@@ -1,8 +1,8 @@
 """Window classifiers, hyper-parameter search and project validation.
 
 Models of one fold are small and there are many (projects x folds x repeats x
-candidates): each is fitted by one task over the windows that Spark built and
-shuffled to it, so a whole round of candidates is one job. Models of a whole
+candidates): a task fits all candidates of a fold (``fold_fits``), so a whole round
+of candidates is one job that moves each fold's rows once. Models of a whole
 project have no size limit and are fitted by Spark ML.
 """
 
@@ -28,6 +28,7 @@ from ..functions import columns as C
 from ..schema import LABEL, METRICS, PROJECT, STARTED, TIME_ORDER
 from ..session import checkpointed
 from . import evaluate as E
+from . import fold_fits as FF
 from . import profile as A
 from . import rank as R
 from . import sequences as S
@@ -109,6 +110,15 @@ def next_generation(
     return result
 
 
+#: Short and long names of the searches.
+STRATEGIES = ["default", "random", "rs", "genetic", "ga"]
+
+
+def check_strategy(strategy: str) -> None:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown search strategy {strategy!r}")
+
+
 def search(
     evaluate: Callable[[list[Candidate]], None], groups: list[tuple], strategy: str,
     space: dict[str, list], seed: int = 42, genetic: dict | None = None,
@@ -119,6 +129,7 @@ def search(
     search costs as many jobs as it has rounds, whatever the number of groups.
     A survivor of a generation keeps its score and is not fitted again.
     """
+    check_strategy(strategy)
     rng = random.Random(seed)
     if strategy == "default":
         tried = [Candidate(g, 1, dict(DEFAULT)) for g in groups]
@@ -130,7 +141,7 @@ def search(
             # equal draws are fitted once
             tried += [Candidate(g, i + 1, p) for i, p in enumerate(draws.values())]
         evaluate(tried)
-    elif strategy in ("genetic", "ga"):
+    else:
         settings = check_genetic(genetic or {})
         people = {g: [Candidate(g, i + 1, draw(space, rng))
                       for i in range(settings["population_size"])] for g in groups}
@@ -141,8 +152,6 @@ def search(
             fresh = [c for p in people.values() for c in p if c.score is None]
             evaluate(fresh)
             tried += fresh
-    else:
-        raise ValueError(f"unknown search strategy {strategy!r}")
     return tried
 
 
@@ -162,98 +171,14 @@ def candidate_table(spark: SparkSession, candidates: list[Candidate]) -> DataFra
         "reg_param double, max_iter int, score double, loss double")
 
 
-# -- one fold in one task -----------------------------------------------------
-def _fit_logistic(x: np.ndarray, y: np.ndarray, reg: float, steps: int, seed: int):
-    """Balanced, ridge-penalised logistic regression by accelerated descent."""
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    sd[sd == 0] = 1.0
-    z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
-    counts = np.bincount(y, minlength=2)
-    weight = (len(y) / (2.0 * np.maximum(counts, 1)))[y]
-    weight = weight / weight.sum()
-    rng = np.random.default_rng(seed)
-    beta = rng.normal(0.0, 1e-3, z.shape[1])
-    # The curvature of the loss is at most a quarter of the largest eigenvalue of
-    # the weighted Gram matrix; power iteration finds it from below.
-    along, top = rng.normal(size=z.shape[1]), 0.0
-    for _ in range(50):
-        along = z.T @ (weight * (z @ (along / np.linalg.norm(along))))
-        top = float(np.linalg.norm(along))
-    rate = 1.0 / (0.25 * 1.1 * top + reg)
-    look, momentum = beta.copy(), 1.0
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(z @ look, -30, 30)))
-        gradient = z.T @ (weight * (p - y)) + reg * np.append(look[:-1], 0.0)
-        new = look - rate * gradient
-        if gradient @ (new - beta) > 0:
-            momentum = 1.0  # the momentum points uphill: start it anew
-        grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        look, beta, momentum = new + (momentum - 1) / grown * (new - beta), new, grown
-    return lambda v: 1.0 / (1.0 + np.exp(-np.clip(
-        np.hstack([(v - mean) / sd, np.ones((len(v), 1))]) @ beta, -30, 30)))
-
-
-_SCORED = "proj string, exp int, iter int, candidate int, part string, y int, p double"
-
-
-def _score_fold(seed: int):
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Fit on a fold's first training windows, score the rest and the test."""
-        first = pdf.iloc[0]
-        pdf = pdf.sort_values("position")
-        train = pdf[pdf["split"] == S.TRAIN]
-        held = S.held_out(len(train))
-        fit = train.iloc[: len(train) - held]
-        if fit.empty:
-            return pd.DataFrame(columns=["proj", "exp", "iter", "candidate", "part", "y", "p"])
-        x, y = np.stack(fit["flat"]), fit["y"].to_numpy()
-        model = _fit_logistic(x, y, first["reg_param"], int(first["max_iter"]),
-                              seed + int(first["iter"]))
-        parts = [("train", fit), ("validation", train.iloc[len(train) - held:]),
-                 ("test", pdf[pdf["split"] == S.TEST])]
-        return pd.concat([pd.DataFrame({
-            "proj": first["proj"], "exp": int(first["exp"]), "iter": int(first["iter"]),
-            "candidate": int(first["candidate"]), "part": name, "y": part["y"].to_numpy(),
-            "p": model(np.stack(part["flat"])),
-        }) for name, part in parts if len(part)])
-
-    return score
-
-
-def fold_windows(
-    df: DataFrame, features: list[str], longest: int, n_folds: int = 10, window: int = 1000,
-    step: int = 600,
+# -- folds --------------------------------------------------------------------
+def fold_rows(
+    df: DataFrame, features: list[str], n_folds: int = 10, window: int = 1000, step: int = 600
 ) -> DataFrame:
-    """Rows of every fold with up to ``longest`` rows before them, as
-    (proj, exp, position, split, y, window). A fold is a bounded group."""
-    folds = S.online_folds(df, n_folds, window, step)
-    ordered = S.windowed(
-        folds, features, longest, [PROJECT, "fold"], ["position"], bounded=True)
-    return ordered.select(
+    """Rows of every fold as (proj, exp, position, split, y, vector). A fold is a bounded group."""
+    return S.online_folds(df, n_folds, window, step).select(
         F.col(PROJECT).alias("proj"), F.col("fold").alias("exp"), "position", "split",
-        F.col(LABEL).cast("int").alias("y"), "window")
-
-
-def score_folds(
-    windows: DataFrame, candidates: list[Candidate], width: int, seed: int = 42
-) -> DataFrame:
-    """Scored rows (proj, exp, iter, candidate, part, y, p) of all candidates.
-
-    Training windows must be complete; test windows that are too short get
-    zero rows on the left.
-    """
-    spark = windows.sparkSession
-    table = candidate_table(spark, candidates).drop("score", "loss")
-    rows = windows.join(F.broadcast(table), ["proj", "exp"]).filter(
-        (F.col("split") == S.TEST) | (F.size("window") >= F.col("time_step")))
-    missing = F.greatest(F.col("time_step") - F.size("window"), F.lit(0))
-    start = F.greatest(F.size("window") - F.col("time_step") + 1, F.lit(1))
-    cut = F.slice(F.concat(S.zero_rows(missing, width), "window"), start, F.col("time_step"))
-    flat = rows.select(
-        "proj", "exp", "iter", "candidate", "reg_param", "max_iter", "position", "split", "y",
-        F.flatten(cut).alias("flat"))
-    groups = flat.groupBy("proj", "exp", "iter", "candidate")
-    return groups.applyInPandas(_score_fold(seed), _SCORED)
+        F.col(LABEL).cast("int").alias("y"), S.feature_vector(features).alias("vector"))
 
 
 _CANDIDATE = ["proj", "exp", "iter", "candidate"]
@@ -280,9 +205,10 @@ def _judge(scored: DataFrame, candidates: list[Candidate]) -> None:
 
 @dataclass
 class OnlineResult:
-    """Everything an online validation produces."""
+    """Everything an online validation produces; ``chosen`` has each repeat's best candidate."""
 
     candidates: DataFrame
+    chosen: DataFrame
     entries: DataFrame
     best: DataFrame
     rollup: DataFrame
@@ -293,21 +219,22 @@ def online_validation(
     df: DataFrame, features: list[str], strategy: str = "ga", model_name: str = "Stacked-LSTM",
     top: int = 10, n_folds: int = 10, window: int = 1000, step: int = 600,
     repeats: int = REPEATS, threshold_from: str = "validation", seed: int = 42,
-    space: dict[str, list] | None = None,
+    space: dict[str, list] | None = None, balance: str = FF.WEIGHTS,
 ) -> OnlineResult:
     """Search, fit, score and compare models on every fold of the largest projects.
 
     ``threshold_from`` says which rows the threshold is tuned on: 'validation'
-    or, optimistically, 'test'.
+    or, optimistically, 'test'. ``balance`` is 'weights', 'before_window'
+    (synthetic rows in each fold's training part) or 'none'.
     """
     space = space or space_of(model_name)
+    check_strategy(strategy)
     spark = df.sparkSession
     chosen = R.select_projects(df, R.top_datasets(df, top), top)
-    longest = max([*space["time_step"], DEFAULT["time_step"] if strategy == "default" else 0])
     # at most top x n_folds x 1.2 window rows; used by every round
-    windows = checkpointed(fold_windows(chosen, features, longest, n_folds, window, step))
+    rows = checkpointed(fold_rows(chosen, features, n_folds, window, step))
     folds = [tuple(r) for r in
-             windows.select("proj", "exp").distinct().orderBy("proj", "exp").collect()]
+             rows.select("proj", "exp").distinct().orderBy("proj", "exp").collect()]
     groups = [(*fold, i + 1) for fold in folds for i in range(repeats)]
     if not groups:
         raise ValueError("no project is long enough for a fold")
@@ -315,7 +242,8 @@ def online_validation(
 
     def evaluate(candidates: list[Candidate]) -> None:
         if candidates:
-            scored = checkpointed(score_folds(windows, candidates, len(features), seed))
+            scored = checkpointed(FF.score_folds(
+                rows, candidate_table(spark, candidates), balance, seed))
             _judge(scored, candidates)
             rounds.append(scored)
 
@@ -330,6 +258,7 @@ def online_validation(
     passed = checkpointed(E.metric_gate(entries, GATE_LIMIT))
     return OnlineResult(
         candidates=candidate_table(spark, tried),
+        chosen=winners,
         entries=passed,
         best=R.best_entry_per_project(passed),
         rollup=A.metric_rollup(passed),
@@ -437,18 +366,24 @@ def score_windows(
 
 def fit_project(
     df: DataFrame, features: list[str], strategy: str = "ga", model_name: str = "Stacked-LSTM",
-    algorithm: str = "logistic", repeats: int = 1, seed: int = 42,
+    algorithm: str = "logistic", repeats: int = REPEATS, seed: int = 42,
     space: dict[str, list] | None = None, limit: float = GATE_LIMIT,
 ) -> tuple[WindowModel, list[dict]]:
-    """The best model of one project by training F1, and every repeat's entry."""
+    """The best model of one project by training F1, and every repeat's entry.
+
+    A fit depends on its parameters only, so repeats share the fits of equal ones.
+    """
     space = space or space_of(model_name)
+    known: dict[tuple, WindowModel] = {}
     fits: dict[tuple, WindowModel] = {}
 
     def evaluate(candidates: list[Candidate]) -> None:
         for c in candidates:
-            windows = S.train_windows(df, features, int(c.params["time_step"]))
-            fitted = fit_window_classifier(windows, features, c.params, algorithm)
-            fits[c.group, c.number] = fitted
+            params = tuple(sorted(c.params.items()))
+            if params not in known:
+                windows = S.train_windows(df, features, int(c.params["time_step"]))
+                known[params] = fit_window_classifier(windows, features, c.params, algorithm)
+            fitted = fits[c.group, c.number] = known[params]
             c.score, c.loss = fitted.entry["F1"], fitted.validation_loss
 
     groups = [("bellwether", 1, i + 1) for i in range(repeats)]
@@ -498,7 +433,7 @@ class CrossResult:
 
 def cross_project_validation(
     df: DataFrame, bellwether: str, features: list[str], strategy: str = "ga",
-    model_name: str = "Stacked-LSTM", algorithm: str = "logistic", repeats: int = 1,
+    model_name: str = "Stacked-LSTM", algorithm: str = "logistic", repeats: int = REPEATS,
     seed: int = 42, space: dict[str, list] | None = None,
 ) -> CrossResult:
     """Fit on the bellwether project; score all others with its fixed threshold."""

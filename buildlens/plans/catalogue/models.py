@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import balance as B
+from ...operators import fold_fits as FF
 from ...operators import importance as I
 from ...operators import modeling as M
 from ...operators import prepare as P
@@ -13,9 +14,10 @@ from ...operators import rank as R
 from ...operators import sequences as S
 from ...schema import LABEL, PROJECT
 from ...session import scratch_folder
-from ...streaming import jobs as J
 from .. import fixtures as X
+from .. import flows
 from .registry import query, r6, with_views
+from .source_queries import _PARSED
 from .sequence_queries import _BASE, _FOLD_JOIN, _POSITIONS, FOLDS
 
 FEATURES = ["gh_diff_files_added", "git_diff_src_churn", "gh_diff_files_modified", "gh_sloc",
@@ -23,6 +25,7 @@ FEATURES = ["gh_diff_files_added", "git_diff_src_churn", "gh_diff_files_modified
 WINDOW_FEATURES = ["gh_diff_files_added", "gh_sloc", "tr_duration", LABEL]
 LENGTH = 10
 SPACE = {**M.COMMON, "time_step": [8, 10, 12]}
+ONE = {"time_step": [LENGTH], "reg_param": [0.01], "max_iter": [10]}
 ONLINE = {"top": 3, "n_folds": 2, "window": 300, "step": 150, "repeats": 1, "space": SPACE}
 
 
@@ -262,9 +265,8 @@ def online_validation(spark, sf_dir):
 def cross_project_validation(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     best = R.top_datasets(rows, 1).first()["project"]
-    space = {"time_step": [LENGTH], "reg_param": [0.01], "max_iter": [10]}
     result = M.cross_project_validation(
-        rows, best, WINDOW_FEATURES, "genetic", space=space)
+        rows, best, WINDOW_FEATURES, "genetic", space=ONE)
     return result.entries
 
 
@@ -282,23 +284,38 @@ def border_reconstruction(spark, sf_dir):
     return card
 
 
-@query("run_jobs")
-def run_jobs(spark, sf_dir):
-    """Queued jobs run to the end; every valid job scores the folds it names."""
-    queue, out = scratch_folder(spark, "queue"), scratch_folder(spark, "runs")
-    # one file with a message of each kind the table holds
-    kinds = X.messages(spark, sf_dir).filter(~F.col("body").startswith("job ")).select(
-        "body").distinct()
-    kinds.coalesce(1).write.text(queue)
-    rows = _rows(spark, sf_dir)
+@query("rebalanced_folds", with_views(f""", {_TRAIN}
+    SELECT gh_project_name AS proj, fold AS exp, CAST(l AS INT) AS label,
+        CASE WHEN l = 1 THEN one ELSE zero END AS real,
+        CASE WHEN one > 0 AND zero > 0 THEN greatest(one, zero)
+            ELSE CASE WHEN l = 1 THEN one ELSE zero END END AS rows
+    FROM z, (VALUES (0), (1)) v(l)
+    WHERE (one > 0 AND zero > 0) OR (l = 1 AND one > 0) OR (l = 0 AND zero > 0)""", b=_BASE))
+def rebalanced_folds(spark, sf_dir):
+    """Class sizes of every fold's training rows with the synthetic ones that its task adds."""
+    rows = FF.rebalanced_folds(M.fold_rows(_rows(spark, sf_dir), WINDOW_FEATURES, **FOLDS))
+    return rows.groupBy("proj", "exp", F.col("y").alias("label")).agg(
+        F.count_if(~F.col("synthetic")).alias("real"), F.count(F.lit(1)).alias("rows"))
 
-    def run(model_name, tuner):
-        if model_name == "Padding":
-            card, _ = M.border_reconstruction(rows, WINDOW_FEATURES, LENGTH)
-            return card
-        options = {**ONLINE, "n_folds": 1, "top": 1}
-        return M.online_validation(
-            rows, WINDOW_FEATURES, tuner, model_name, **options).entries
 
-    J.run_jobs(J.read_queue(spark, queue), run, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/states")
+@query("online_validation_rebalanced")
+def online_validation_rebalanced(spark, sf_dir):
+    result = M.online_validation(
+        _rows(spark, sf_dir), WINDOW_FEATURES, "random", balance=FF.BEFORE_WINDOW, **ONLINE)
+    return result.entries
+
+
+@query("run_jobs", with_views("""
+    SELECT CASE WHEN rejected IS NULL THEN 'done' ELSE 'dead' END AS state, model_name, tuner,
+        rejected AS reason, count(*) AS messages FROM p GROUP BY 1, 2, 3, 4""",
+    q=X.MESSAGES_SQL, p=_PARSED))
+def run_jobs(spark, sf_dir):
+    """Every message of the table through a worker, by its state at the end."""
+    queue, out = scratch_folder(spark, "queue"), scratch_folder(spark, "runs")
+    X.messages(spark, sf_dir).select("body").repartition(3).write.text(queue)
+    flows.work(
+        spark, queue, _rows(spark, sf_dir), out, files_per_batch=1_000, features=WINDOW_FEATURES,
+        online=ONLINE, cross={"space": ONE}, border={"length": LENGTH}).awaitTermination()
+    states = spark.read.parquet(f"{out}/states")
+    return states.groupBy("state", "model_name", "tuner", "reason").agg(
+        F.count(F.lit(1)).alias("messages"))

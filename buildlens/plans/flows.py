@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import columns as C
 from ..operators import encode as N
@@ -15,9 +17,10 @@ from ..operators import modeling as M
 from ..operators import prepare as P
 from ..operators import profile as A
 from ..operators import rank as R
-from ..schema import COMMITTER, PERIODS, SCALED
+from ..schema import COMMITTER, DEFAULT_TUNER, JOB_MODELS, PERIODS, SCALED
 from ..session import checkpointed
-from ..sources import files
+from ..sources import files, runlog
+from ..streaming import jobs as J
 
 #: Tells the label away, so it is left out of the features.
 LEAKY = "tr_log_num_tests_failed"
@@ -79,27 +82,115 @@ def combine_and_prepare(
     return rank_and_save(build_table(jobs, **selection), out)
 
 
+#: Phases of a training job.
+ONLINE, CROSS, ADAPTED, BORDER = "online", "cross_project", "adapted", "border"
+#: The job that reconstructs borders; a goal of its own, by R2.
+PADDING, BORDER_GOAL = "Padding", 0.7
+
+
 @dataclass
 class Validation:
+    """The phases of a validation, their summary (each phase, and overall) and their run log.
+
+    ``cross`` is the bellwether's model on the other projects, ``adapted`` the entries
+    of models that were fitted again for each; only one of them is made.
+    """
+
     online: M.OnlineResult
     bellwether: str
-    cross: M.CrossResult
+    cross: M.CrossResult | None
+    adapted: DataFrame | None
+    summary: DataFrame
+    log: DataFrame
 
 
-def validate(
-    builds: DataFrame, features: list[str] | None = None, strategy: str = "ga",
-    model_name: str = "Stacked-LSTM", online: dict | None = None, cross: dict | None = None,
-) -> Validation:
-    """Find the bellwether project on sliding folds and try its model on the others."""
+def _inputs(builds: DataFrame, features: list[str] | None) -> tuple[DataFrame, list[str]]:
     if features is None:
         _, features, _ = P.select_numeric_features(builds, include_label=True)
         features = [f for f in features if f not in ("tr_build_id", "tr_job_id")]
     if "tr_job_id" not in builds.columns:
         builds = builds.withColumn("tr_job_id", F.lit(0).cast("long"))
+    return builds, features
+
+
+def _log_entries(entries: DataFrame, model_name: str, phase: str) -> DataFrame:
+    """Entries under the names of the run log."""
+    return entries.withColumn("algo", F.lit(model_name)).withColumns({
+        "run_id": F.concat_ws("/", F.lit(model_name), F.lit(phase), "proj", "exp", "iter"),
+        "project": F.col("proj"), "fold": F.col("exp"), "iteration": F.col("iter"),
+    }).drop("proj", "exp", "iter")
+
+
+def validate(
+    builds: DataFrame, features: list[str] | None = None, strategy: str = "ga",
+    model_name: str = "Stacked-LSTM", online: dict | None = None, cross: dict | None = None,
+    adapted: dict | None = None,
+) -> Validation:
+    """Find the bellwether project on sliding folds and try its model on the others.
+
+    ``online`` and ``cross`` are options of the two phases. With ``adapted`` (options,
+    may be empty) the second phase fits a model for each other project instead.
+    """
+    builds, features = _inputs(builds, features)
     found = M.online_validation(builds, features, strategy, model_name, **(online or {}))
     best = found.bellwether.first()
     if best is None:
         raise ValueError("no valid model found in online validation")
-    return Validation(found, best["proj"], M.cross_project_validation(
-        builds, best["proj"], features, strategy, model_name, **(cross or {})))
+    keys = ["proj", "exp", "iter"]
+    chosen = found.chosen.drop("candidate").withColumnRenamed("loss", "validation_loss")
+    first = found.entries.join(F.broadcast(chosen), keys)  # as many rows as folds and repeats
+    crossed, refitted = None, None
+    if adapted is None:
+        crossed = M.cross_project_validation(
+            builds, best["proj"], features, strategy, model_name, **(cross or {}))
+        phase, second = CROSS, checkpointed(crossed.entries)
+        logged = second.withColumn("time_step", F.lit(crossed.model.length))
+    else:
+        refitted, _ = M.adapted_validation(builds, best["proj"], features, **adapted)
+        phase, second, logged = ADAPTED, refitted, refitted
+    both = found.entries.withColumn("phase", F.lit(ONLINE)).unionByName(
+        second.withColumn("phase", F.lit(phase)), allowMissingColumns=True)
+    log = runlog.run_log(A.union_all_by_name(
+        _log_entries(first, model_name, ONLINE), _log_entries(logged, model_name, phase)))
+    return Validation(found, best["proj"], crossed, refitted, A.phase_summary(both), log)
+
+
+def train(
+    builds: DataFrame, model_name: str = "Stacked-LSTM", tuner: str = DEFAULT_TUNER,
+    features: list[str] | None = None, border: dict | None = None, **phases: dict | None,
+) -> DataFrame:
+    """The run log of one training job.
 
+    ``Padding`` reconstructs borders (``border`` are its options), every other model is
+    validated in two phases (``phases`` are the options of ``validate``). Unknown
+    models and tuners are errors before any work.
+    """
+    if model_name not in JOB_MODELS:
+        raise ValueError(f"unknown model {model_name!r}")
+    if model_name != PADDING:
+        M.check_strategy(tuner)
+        return validate(builds, features, tuner, model_name, **phases).log
+    builds, features = _inputs(builds, features)
+    options = {"length": 40, "r2_goal": BORDER_GOAL, **(border or {})}
+    card, zeroed = M.border_reconstruction(builds, features, **options)
+    entry = card.select(
+        F.lit(f"{model_name}/{BORDER}").alias("run_id"), F.lit(model_name).alias("algo"),
+        F.lit(options["length"]).alias("time_step"), F.lit(",".join(zeroed)).alias("zeroed"), "*")
+    return runlog.run_log(
+        entry, known_params=["algo", "time_step", "zeroed"], known_metrics=card.columns)
+
+
+def job_runner(builds: DataFrame, **options) -> Callable[[str, str], DataFrame]:
+    """What ``streaming.jobs.run_jobs`` calls for each job: ``train`` on these builds."""
+    return lambda model_name, tuner: train(builds, model_name, tuner, **options)
+
+
+def work(
+    spark: SparkSession, queue: str, builds: DataFrame, out: str, poll: str | None = None,
+    files_per_batch: int = 1, **options
+) -> StreamingQuery:
+    """Train what the queue folder asks for. Run logs go to ``out/results``, the state of
+    every message to ``out/states``; without ``poll`` the worker ends with the queue."""
+    stream = J.read_queue(spark, queue, files_per_batch)
+    return J.run_jobs(
+        stream, job_runner(checkpointed(builds), **options), out, f"{out}/checkpoint", poll=poll)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,18 @@ from ..schema import LOG_METRICS, LOG_PARAMS
 COLUMNS = ["run_id", "kind", "key", "text", "value", "step"]
 
 
-def run_log(entries: DataFrame, prefix: str = "", history: DataFrame | None = None) -> DataFrame:
+def run_log(
+    entries: DataFrame, prefix: str = "", history: DataFrame | None = None,
+    known_params: Iterable[str] = LOG_PARAMS, known_metrics: Iterable[str] = LOG_METRICS,
+) -> DataFrame:
     """Rows (run_id, kind, key, text, value, step) of the known parameters and
     metrics of each entry; missing and empty values are left out.
 
     ``history`` holds (run_id, metric, epoch, value) and becomes metrics with
     a step.
     """
-    params = [c for c in LOG_PARAMS if c in entries.columns]
-    metrics = [c for c in LOG_METRICS if c in entries.columns]
+    params = [c for c in known_params if c in entries.columns]
+    metrics = [c for c in known_metrics if c in entries.columns]
     no_text, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
     no_step = F.lit(None).cast("int")
     parts = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,39 +75,69 @@ def store_messages(
     )
 
 
+def _ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of finished work, empty before the first of it."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _folder(value: str) -> str:
+    """A text as part of a partition's path."""
+    return quote(value, safe="") or "__HIVE_DEFAULT_PARTITION__"
+
+
+_RUNS = "batch long, model_name string, tuner string, state string, reason string"
+
+
 def run_jobs(
     stream: DataFrame, run: Callable[[str, str], DataFrame], out: str, checkpoint: str,
-    body: str = "value",
+    body: str = "value", poll: str | None = None,
 ) -> StreamingQuery:
-    """Run every valid job, one after the other, and store its entries.
-
-    ``run(model_name, tuner)`` is the validation to do. The checkpoint takes
-    the place of an acknowledgement. A job that fails is recorded and dropped.
-    Jobs of a batch are few (one file per batch), so naming them to the driver
-    is safe; equal jobs of a batch are run once.
+    """Run every valid job, one after the other, and account for every message.
+
+    ``run(model_name, tuner)`` is the training to do, for example
+    ``plans.flows.job_runner``; its rows go to ``results`` below ``out``. Equal
+    jobs of a batch are run once. Without ``poll`` the worker ends when the queue
+    is empty; with it ('10 seconds') it stands and looks for new messages so often.
+
+    ``states`` holds each message with its state: ``done``; ``failed``, with the
+    error; or ``dead``, with why it is no job. The stream's checkpoint takes the
+    place of an acknowledgement: a batch that was not finished comes again.
+    Each job that ended is noted in ``runs`` at once, so a batch that comes
+    again runs only the jobs that had not ended, and overwrites what these and
+    the batch itself had stored. A failed job is not tried again.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jobs = valid_jobs(job_messages(batch, body)).groupBy("model_name", "tuner").agg(
-            F.count(F.lit(1)).alias("messages"))
-        states = []
-        # at most models x tuners rows
-        for job in jobs.orderBy("model_name", "tuner").toLocalIterator():
-            name, tuner = job["model_name"], job["tuner"]
-            state = "done"
+        parsed = job_messages(batch, body).select(
+            F.col(body).alias("body"), "model_name", "tuner", "rejected").persist()
+        runs = _ledger(spark, f"{out}/runs", _RUNS).filter(F.col("batch") == batch_id)
+        open_jobs = valid_jobs(parsed).select("model_name", "tuner").distinct().join(
+            runs, ["model_name", "tuner"], "left_anti").orderBy("model_name", "tuner")
+        # one after the other; the driver holds a part of the list at a time
+        for name, tuner in open_jobs.toLocalIterator():
+            state, reason = "done", None
             try:
                 run(name, tuner).write.mode("overwrite").parquet(
-                    f"{out}/results/batch={batch_id}/model={name}/tuner={tuner}")
+                    f"{out}/results/batch={batch_id}/model={name}/tuner={_folder(tuner)}")
             except Exception as error:  # a failed job must not stop the queue
-                state = f"failed: {str(error)[:200]}"
-            states.append((name, tuner, job["messages"], state))
-        schema = "model_name string, tuner string, messages long, state string"
-        spark.createDataFrame(states, schema).write.mode("overwrite").parquet(
-            f"{out}/states/batch={batch_id}")
+                state, reason = "failed", str(error)[:200]
+            spark.createDataFrame([(batch_id, name, tuner, state, reason)], _RUNS).coalesce(
+                1).write.mode("append").parquet(f"{out}/runs")
+        ended = _ledger(spark, f"{out}/runs", _RUNS).filter(F.col("batch") == batch_id)
+        joined = parsed.join(ended.drop("batch"), ["model_name", "tuner"], "left")
+        dead = F.col("rejected").isNotNull()
+        joined.select(
+            "body", "model_name", "tuner",
+            F.when(dead, "dead").otherwise(F.col("state")).alias("state"),
+            F.when(dead, F.col("rejected")).otherwise(F.col("reason")).alias("reason"),
+        ).write.mode("overwrite").parquet(f"{out}/states/batch={batch_id}")
+        parsed.unpersist()
 
+    trigger = {"availableNow": True} if poll is None else {"processingTime": poll}
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**trigger).start()
     )
 
 
