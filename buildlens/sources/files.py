@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote, unquote
 
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..operators.profile import union_all_by_name
 from ..schema import CANONICAL, LABEL, PROJECT, STARTED, TIME_ORDER, match_dialect, source_name
+from ..session import checkpointed
+from . import records
 
-#: Session setting: whether fields of CSV files may hold line breaks.
-MULTI_LINE_SETTING = "buildlens.csvMultiLine"
 # fixed values: words that other writers of CSV leave for a missing text
 MISSING_WORDS = ["", "NA", "N/A", "n/a", "NULL", "null", "NaN", "nan", "None"]
 _HEADER_BYTES = 1 << 20
@@ -92,17 +93,59 @@ def _paths_by_header(headers: DataFrame) -> dict[tuple[str, ...], list[str]]:
     return groups
 
 
-def _read_text(spark: SparkSession, header: Iterable[str], paths: list[str]) -> DataFrame:
-    """Files of one header with every column as text, and where rows come from."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    # quotes inside quoted fields are doubled; fields with line breaks need whole
-    # files in one task, so they are read only where the session says so
-    several = spark.conf.get(MULTI_LINE_SETTING, "false")
-    df = spark.read.schema(schema).options(
-        header="true", quote='"', escape='"', multiLine=several).csv(paths)
-    parts = F.split("_metadata.file_path", "/")
-    return df.select("*", F.element_at(parts, -2).alias("_folder"),
-                     F.element_at(parts, -1).alias("_file"))
+CORRUPT = "_corrupt_record"
+
+
+def _read_text(
+    spark: SparkSession, header: Iterable[str], paths: list[str], corrupt: bool = False
+) -> DataFrame:
+    """Files of one header with every column as text, and where rows come from.
+
+    Fields may hold line breaks. Files of which every line is a record are read by
+    Spark's reader, the others by ``records``, in parallel too. ``corrupt`` adds the
+    text of records with too many or too few fields.
+    """
+    header = list(header)
+    names = [*header, CORRUPT] if corrupt else header
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    # quotes inside quoted fields are doubled
+    options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": CORRUPT}
+    # metadata holds escaped paths, the listing plain ones
+    parts, frames = F.split(F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))), "/"), []
+    found = {_spelling(unquote(path)) for path in records.paths_with_breaks(spark, paths)}
+    whole = [p for p in paths if _spelling(p) not in found]
+    broken = [p for p in paths if _spelling(p) in found]
+    if whole:
+        read = spark.read.schema(schema).options(header="true", **options).csv(whole)
+        frames.append(read.select(*names, F.col("_metadata.file_path").alias("_path")))
+    if broken:
+        rows = records.records_of(spark, broken)
+        # a file's first record is its header
+        rows = rows.filter((F.col("block") > 0) | (F.col("line") > 0)).select(
+            F.from_csv("record", schema.toDDL(), options).alias("_row"), F.col("path").alias("_path"))
+        frames.append(rows.select("_row.*", "_path"))
+    return union_all_by_name(*frames).select(
+        *names, F.element_at(parts, -2).alias("_folder"), F.element_at(parts, -1).alias("_file"))
+
+
+def _spelling(path: str) -> str:
+    """file:/x and file:///x name the same file."""
+    return re.sub(":/+", ":/", path, count=1)
+
+
+def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, file, rows, malformed, longest): a file's records, how many have too many or
+    too few fields, and the most characters of one."""
+    counted = [
+        _read_text(spark, header, paths, corrupt=True).groupBy("_folder", "_file").agg(
+            F.count(F.lit(1)).alias("rows"), F.count(CORRUPT).alias("malformed"),
+            F.max(F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in header]))).alias("longest"))
+        for header, paths in _paths_by_header(file_headers(spark, folder)).items()]
+    if not counted:
+        raise FileNotFoundError(f"no readable CSV file in {folder}")
+    # one row a file; the reader gives malformed records only along with other columns
+    return checkpointed(union_all_by_name(*counted).withColumnsRenamed(
+        {"_folder": "folder", "_file": "file"}))
 
 
 def _typed(column: str) -> Column:
