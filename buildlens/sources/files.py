@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..operators.profile import union_all_by_name
 from ..schema import CANONICAL, LABEL, PROJECT, STARTED, TIME_ORDER, match_dialect, source_name
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from . import records
 
 # fixed values: words that other writers of CSV leave for a missing text
@@ -111,7 +111,7 @@ def _read_text(
     # quotes inside quoted fields are doubled
     options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": CORRUPT}
     # metadata holds escaped paths, the listing plain ones
-    parts, frames = F.split(F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))), "/"), []
+    plain, parts, frames = F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))), F.split("_path", "/"), []
     found = {_spelling(unquote(path)) for path in records.paths_with_breaks(spark, paths)}
     whole = [p for p in paths if _spelling(p) not in found]
     broken = [p for p in paths if _spelling(p) in found]
@@ -124,8 +124,8 @@ def _read_text(
         rows = rows.filter((F.col("block") > 0) | (F.col("line") > 0)).select(
             F.from_csv("record", schema.toDDL(), options).alias("_row"), F.col("path").alias("_path"))
         frames.append(rows.select("_row.*", "_path"))
-    return union_all_by_name(*frames).select(
-        *names, F.element_at(parts, -2).alias("_folder"), F.element_at(parts, -1).alias("_file"))
+    return union_all_by_name(*frames).withColumn("_path", plain).select(
+        *names, "_path", F.element_at(parts, -2).alias("_folder"), F.element_at(parts, -1).alias("_file"))
 
 
 def _spelling(path: str) -> str:
@@ -133,6 +133,10 @@ def _spelling(path: str) -> str:
     return re.sub(":/+", ":/", path, count=1)
 
 
+def _one_spelling(path: str) -> Column:
+    return F.regexp_replace(path, "^([^/]*):/+", "$1:/").alias("_at")
+
+
 def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(folder, file, rows, malformed, longest): a file's records, how many have too many or
     too few fields, and the most characters of one."""
@@ -231,13 +235,14 @@ def file_inventory(
     for header, paths in _paths_by_header(headers).items():
         rows = _read_text(spark, header, paths)
         y = C.number(F.col(label)) if label in header else F.lit(None).cast("double")
-        counts.append(rows.groupBy(F.col("_folder").alias("folder"), F.col("_file").alias("file"))
+        counts.append(rows.groupBy(_one_spelling("_path"))
                       .agg(F.count(F.lit(1)).alias("rows"), F.count(y).alias("_known"),
                            F.count_if(y == 0).alias("_zero"), F.count_if(y == 1).alias("_one")))
-    files = headers.select("folder", "file", F.col("header").isNotNull().alias("_readable"),
+    # different folders may have equal names
+    files = headers.select(_one_spelling("path"), "folder", "file", F.col("header").isNotNull().alias("_readable"),
                            F.array_contains("header", label).alias("_labelled"))
     if counts:
-        files = files.join(union_all_by_name(*counts), ["folder", "file"], "left")
+        files = files.join(union_all_by_name(*counts), "_at", "left")
     else:
         files = files.withColumns({
             n: F.lit(None).cast("long") for n in ("rows", "_known", "_zero", "_one")})
@@ -286,10 +291,13 @@ def combine_sources(spark: SparkSession, folder: str, out: str) -> DataFrame | N
     combined = union_all_by_name(*frames)
     combined = combined.select(*[c for c in CANONICAL if c in combined.columns])
     combined.write.mode("overwrite").parquet(out)
-    # the columns are pruned when reading back, where a null check only
-    # touches column chunks of a columnar file
-    table = drop_null_columns(spark.read.parquet(out))
-    return table if table.columns else None
+    # a null check only touches column chunks of a columnar file
+    table = spark.read.parquet(out)
+    kept = drop_null_columns(table)
+    if kept.columns and len(kept.columns) < len(table.columns):
+        stored(kept, "combined").write.mode("overwrite").parquet(out)
+        kept = spark.read.parquet(out)
+    return kept if kept.columns else None
 
 
 def write_dialect(df: DataFrame, dialect: str, path: str) -> None:

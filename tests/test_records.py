@@ -79,3 +79,23 @@ def test_malformed_and_unclosed_records(spark, tmp_path, small_splits):
     paths = [r["path"] for r in files.list_files(spark, str(tmp_path)).collect()]
     rows = {(r["a"], r["b"]) for r in files._read_text(spark, ["a", "b"], paths).collect()}
     assert {("1", "two\nlines"), ("5", 'a 6" disk'), ("7", "8"), ("10", "11"), ("12", "13")} <= rows
+
+
+def test_folders_of_equal_names_are_counted_apart(spark, tmp_path):
+    for parent, count in (("x", 2), ("y", 5)):
+        (tmp_path / parent / "same").mkdir(parents=True)
+        _write(tmp_path / parent / "same" / "a.csv", [["1", "7", "two\nlines", "main"]] * count)
+    inventory, total = files.file_inventory(spark, str(tmp_path))
+    assert [(r["folder"], r["file"], r["rows"]) for r in inventory.collect()] == [
+        ("same", "a.csv", 5), ("same", "a.csv", 2)]
+    assert total.first()[0] == 7
+
+
+def test_the_stored_table_has_no_empty_columns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    names = [files.source_name("job", c) for c in ("tr_build_id", "gh_sloc", "gh_team_size")]
+    (tmp_path / "in" / "a.csv").write_text(",".join(names) + "\n1,,3\n2,,4\n")
+    out = str(tmp_path / "out")
+    combined = files.combine_sources(spark, str(tmp_path / "in"), out)
+    assert combined.columns == spark.read.parquet(out).columns
+    assert "gh_sloc" not in combined.columns and combined.count() == 2
