@@ -209,6 +209,18 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
     return table
 
 
+def _plausible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Those pairs whose sizes and parity bits allow a similarity of 4/5; no words are moved for the others."""
+    known = firsts.filter("n IS NOT NULL").select("key", "n", "p0", "p1")
+    one, other = (known.select(F.col("key").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "p0", "p1")])
+                  for key, side in (("key", "a"), ("other", "b")))
+    n, m = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    p0, p1 = (F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b")) for p in ("p0", "p1"))
+    differ = F.when(n >= LARGE, F.bit_count(p0) + F.bit_count(p1)).otherwise(F.bit_count(p0.bitwiseXOR(p1)))
+    return pairs.join(one, "key").join(other, "other").filter(
+        (5 * n >= 4 * m) & (9 * differ <= n + m)).select("key", "other")
+
+
 def _settled_by_leaders(firsts: DataFrame) -> DataFrame:
     """(key): lines that are similar to the earliest of those they share a band with."""
     bands = firsts.filter("n IS NOT NULL").select(
@@ -218,7 +230,7 @@ def _settled_by_leaders(firsts: DataFrame) -> DataFrame:
         F.min_by("key", "early").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     met = bands.select("band", "key").join(leaders, "band").filter(F.col("key") != F.col("leader"))
     # a line's leaders are at most as many as its bands
-    pairs = checkpointed(met.select("key", F.col("leader").alias("other")).distinct())
+    pairs = checkpointed(_plausible(met.select("key", F.col("leader").alias("other")).distinct(), firsts))
     return checkpointed(_similar(pairs, firsts))
 
 
