@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .cuts import lookup
 
 #: Session setting: most rows of one key that may share a task.
 HOT_ROWS_SETTING = "buildlens.hotRows"
@@ -40,7 +41,6 @@ MAX_SLICES = 200_000
 SLICE = "_slice"
 #: Prefix of the columns that carry values over slice borders.
 CARRIED = "_carried_"
-_STEPS = [2**i for i in range(17, -1, -1)]
 
 
 def hot_rows_of(df: DataFrame, hot_rows: int | None = None) -> int:
@@ -60,7 +60,7 @@ def any_hot(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> bool
 
 
 def _cut_table(df: DataFrame, keys: list[str], order: list[str], hot_rows: int):
-    """(keys, _cuts) for keys with more than ``hot_rows`` rows, or None."""
+    """(keys, order, number) of every cut of keys with more than ``hot_rows`` rows, or None."""
     sizes = (
         df.filter(_key_known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
@@ -77,28 +77,14 @@ def _cut_table(df: DataFrame, keys: list[str], order: list[str], hot_rows: int):
         .distinct()
     )
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    number = f"{CARRIED}no"
     return (
-        sample.withColumn("_nth", nth)
-        .filter(F.col("_nth") % SAMPLES_PER_SLICE == 0)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_cuts"))
+        sample.withColumn(number, nth)
+        .filter(F.col(number) % SAMPLES_PER_SLICE == 0)
+        .withColumn(number, (F.col(number) / SAMPLES_PER_SLICE).cast("int"))
     )
 
 
-def _slice_of(order: list[str]) -> Column:
-    """Number of cuts at or before the row: a binary search over the array."""
-    here = F.struct(*order)
-    cuts = F.col("_cuts")
-
-    def step(low: Column, width: Column) -> Column:
-        probe = low + width
-        fits = (probe <= F.size(cuts)) & (F.get(cuts, probe - 1) <= here)
-        return F.when(fits, probe).otherwise(low)
-
-    found = F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), step)
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
-
-
 @dataclass(frozen=True)
 class Timeline:
     """Rows with an order inside each key, possibly cut into slices.
@@ -145,12 +131,11 @@ class Timeline:
             rows = df.withColumn(SLICE, slice_id)
             return cls(rows, rows, keys, order, split=False)
         # small (see MAX_SLICES) and used by every branch below
-        cuts = checkpointed(cuts)
-        slice_id = F.when(_key_known(keys), _slice_of(order)).otherwise(spread)
+        tree = lookup(checkpointed(cuts), keys, order, CARRIED)
+        slice_id = F.when(_key_known(keys), F.col(SLICE)).otherwise(spread)
 
         def cut(frame: DataFrame) -> DataFrame:
-            joined = frame.join(F.broadcast(cuts), keys, "left")
-            return joined.withColumn(SLICE, slice_id).drop("_cuts")
+            return tree.slice_of(frame, SLICE).withColumn(SLICE, slice_id)
 
         rows = cut(df)
         return cls(rows, rows if base is df else cut(base), keys, order, split=True)
