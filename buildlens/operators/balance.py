@@ -70,42 +70,104 @@ def minority_knn(
 ) -> DataFrame:
     """(keys, id, neighbours): the k nearest minority rows of each minority row.
 
-    Rows of a key are cut into blocks and every pair of blocks is one task's
-    work, which only keeps the k best of each row. The result is exact for
-    any key size, no task holds more than two blocks, and no pairs of rows
-    are written out. ``bounded`` says that keys are small by construction.
+    Rows of a key lie in blocks along a space-filling order. Each block is first
+    searched for its own rows; after that a row's k-th distance so far tells which
+    other blocks may hold nearer ones, by their bounding boxes. Only these pairs of
+    blocks are compared. The result is exact for any key size, no task holds more than
+    two blocks, and no pairs of rows are written out. ``bounded`` says that keys
+    are small by construction.
     """
     keys = list(keys)
     rows = _minority_rows(df, keys, vector, ident, label, bounded)
-    return _knn_of(rows, keys, vector, ident, k, block)
+    return _knn_of(rows, keys, vector, ident, k, block, bounded)
+
+
+#: Columns that order the blocks, and bits of each of them.
+ORDERING, BITS = 6, 10
+
+
+def _along_space(rows: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+    """``rows`` (keys, id, vector) with ``_at``, their place from 1 along a Z-order of
+    the columns that vary most."""
+    cells = rows.select(*keys, F.posexplode("vector").alias("_dim", "_x"))
+    spans = cells.groupBy(*keys, "_dim").agg(
+        F.variance("_x").alias("_var"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    widest = F.sort_array(F.collect_list(F.struct((-F.col("_var")).alias("_var"), "_dim", "_lo", "_hi")))
+    spans = spans.groupBy(*keys).agg(F.slice(widest, 1, ORDERING).alias("_spans"))
+    place = F.lit(0).cast("long")
+    for j in range(ORDERING):
+        span = F.get("_spans", F.lit(j))
+        share = F.try_divide(F.get("vector", span["_dim"]) - span["_lo"], span["_hi"] - span["_lo"])
+        # not a number is above 1
+        step = F.when((share >= 0) & (share <= 1), F.floor(share * (2**BITS - 1))).otherwise(0).cast("long")
+        for bit in range(BITS):
+            place = place.bitwiseOR(F.shiftleft(
+                F.shiftright(step, bit).bitwiseAND(F.lit(1).cast("long")), bit * ORDERING + j))
+    placed = rows.join(spans, keys, "left").withColumn("_z", F.coalesce(place, F.lit(0))).drop("_spans")
+    return Timeline.of(placed, keys, ["_z", "id"], bounded=bounded).position("_at").frame()
+
+
+def _boxes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _own, _n, _box): rows and bounds in every column of each block."""
+    cells = rows.select(*keys, "_own", F.posexplode("vector").alias("_dim", "_x")).groupBy(
+        *keys, "_own", "_dim").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("_n"))
+    return cells.groupBy(*keys, "_own").agg(
+        F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_dim", "lo", "hi"))).alias("_box"))
+
+
+def block_visits(rows: DataFrame, own: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, _a, _b): blocks ``_b`` that may hold one of the k nearest of a row of ``_a``.
+
+    ``own`` are the (keys, _own, id, neighbour, distance) found inside the blocks.
+    """
+    each = own.groupBy(*keys, "_own", "id").agg(F.count(F.lit(1)).alias("_found"), F.max("distance").alias("_far"))
+    reach = each.groupBy(*keys, "_own").agg(F.count_if(F.col("_found") >= k).alias("_full"), F.max("_far").alias("_far"))
+    boxes = _boxes(rows, keys)
+    # a block with a row of fewer than k so far reaches everywhere
+    a = boxes.join(reach, [*keys, "_own"], "left").select(
+        *keys, F.col("_own").alias("_a"), F.col("_box").alias("_box_a"),
+        F.when(F.col("_full") == F.col("_n"), F.col("_far")).alias("_far"))
+    b = boxes.select(*keys, F.col("_own").alias("_b"), F.col("_box").alias("_box_b"))
+    gaps = F.zip_with("_box_a", "_box_b", lambda x, y: F.greatest(F.lit(0.0), y["lo"] - x["hi"], x["lo"] - y["hi"]))
+    apart = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap))
+    # equally near rows count, and rounding must not lose any
+    near = F.col("_far").isNull() | F.isnan(apart) | (apart * (1 - 1e-9) <= F.col("_far"))
+    return a.join(b, keys).filter((F.col("_a") != F.col("_b")) & near).select(*keys, "_a", "_b")
 
 
 def _knn_of(
-    rows: DataFrame, keys: list[str], vector: str, ident: str, k: int, block: int
+    rows: DataFrame, keys: list[str], vector: str, ident: str, k: int, block: int, bounded: bool = False,
 ) -> DataFrame:
-    blocks = F.ceil(F.col("_size") / F.lit(block)).cast("int")
-    rows = rows.select(
-        *keys, F.col(ident).alias("id"), F.col(vector).alias("vector"),
-        F.floor((F.col("_nth") - 1) / F.lit(block)).cast("int").alias("_own"),
-        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    columns = [*keys, "_a", "_b"]
-    left = rows.select(
-        *keys, F.col("_own").alias("_a"), F.col("_other").alias("_b"), "id", "vector")
-    # fresh aliases: both sides stem from the same table
-    right = rows.select(
-        *[F.col(k).alias(k) for k in keys], F.col("_other").alias("_a"),
-        F.col("_own").alias("_b"), F.col("id").alias("id"), F.col("vector").alias("vector"))
+    # read by the steps below; written once
+    rows = checkpointed(rows.select(
+        *keys, F.col(ident).alias("id"), F.col(vector).alias("vector"), (F.col("_size") > block).alias("_parted")))
+    # only keys of several blocks need an order
+    place = _along_space(rows.filter("_parted"), keys, bounded)
+    parted = checkpointed(place.select(
+        *keys, F.floor((F.col("_at") - 1) / F.lit(block)).cast("int").alias("_own"), "id", "vector"))
+    rows = parted.union(rows.filter("NOT _parted").select(*keys, F.lit(0).alias("_own"), "id", "vector"))
     key_fields = [rows.schema[key] for key in keys]
     id_type = rows.schema["id"].dataType
+    found = [T.StructField("id", id_type), T.StructField("neighbour", id_type),
+             T.StructField("distance", T.DoubleType())]
+    whole = T.StructType([*key_fields, T.StructField("_own", T.IntegerType()), *found])
+    search = _nearest(k, len(keys) + 1)
+    own = checkpointed(rows.groupBy(*keys, "_own").applyInPandas(lambda part: search(part, part), whole))
+    # small: one row for each pair of blocks that is compared
+    visits = checkpointed(block_visits(parted, own, keys, k))
+    columns = [*keys, "_a", "_b"]
+    left = parted.withColumnRenamed("_own", "_a").join(visits, [*keys, "_a"]).select(*columns, "id", "vector")
+    # fresh aliases: both sides stem from the same table
+    right = parted.withColumnRenamed("_own", "_b").join(visits, [*keys, "_b"]).select(
+        *[F.col(c).alias(c) for c in (*columns, "id", "vector")])
     schema = T.StructType([
-        *key_fields, T.StructField("_a", T.IntegerType()), T.StructField("_b", T.IntegerType()),
-        T.StructField("id", id_type), T.StructField("neighbour", id_type),
-        T.StructField("distance", T.DoubleType())])
+        *key_fields, T.StructField("_a", T.IntegerType()), T.StructField("_b", T.IntegerType()), *found])
     pairs = left.groupBy(*columns).cogroup(right.groupBy(*columns)).applyInPandas(
         _nearest(k, len(columns)), schema)
     ranked = F.sort_array(F.collect_list(F.struct("distance", "neighbour")))
-    # k candidates a block pair: a short list
-    return pairs.groupBy(*keys, "id").agg(F.slice(ranked, 1, k).alias("neighbours"))
+    # k candidates for each block compared: a short list
+    return own.drop("_own").union(pairs.drop("_a", "_b")).groupBy(*keys, "id").agg(
+        F.slice(ranked, 1, k).alias("neighbours"))
 
 
 def smote_balance(
@@ -133,7 +195,7 @@ def smote_balance(
         bases.filter(turns > 0)
         .select(*keys, F.col(ident).alias("id"), F.col(vector).alias("_base"), "_minority",
                 F.explode(F.sequence(F.lit(1).cast("long"), turns)).alias("_turn"))
-        .join(_knn_of(bases, keys, vector, ident, k, block), [*keys, "id"], "left")
+        .join(_knn_of(bases, keys, vector, ident, k, block, bounded), [*keys, "id"], "left")
     )
     draw = F.xxhash64("id", "_turn", F.lit(seed))
     count = F.coalesce(F.size("neighbours"), F.lit(0))
