@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import LABEL
+from ..session import SMALL_GROUPS, stored
 from .encode import standard_scale
 
 
@@ -119,7 +120,13 @@ def aggregate_importance(
     df: DataFrame, features: list[str], label: str = LABEL, trees: int = 100,
     max_iter: int = 1000,
 ) -> DataFrame:
-    """All three models on one table, joined and averaged."""
+    """All three models on one table, joined and averaged.
+
+    Each model reads the table several times; they read its few columns as stored once.
+    """
+    df = stored(df.filter(F.col(label).isNotNull()).select(
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features], label),
+        "importance", **SMALL_GROUPS)
     return combine_importance(
         rf_importance(df, features, label, trees), logistic_importance(df, features, label),
         svc_importance(df, features, label, max_iter))

@@ -306,3 +306,16 @@ def test_masked_windows_equal_windows_of_masked_rows(separable):
     before = S.border_windows(separable, FEATURES, 8, zeroed=["noise"])
     assert masked.select(*columns).exceptAll(before.select(*columns)).count() == 0
     assert masked.count() == before.count() == 3 * (420 - 8)
+
+
+def test_importance_models_read_one_stored_table(separable, monkeypatch):
+    read, names = [], ["rf_importance", "logistic_importance", "svc_importance"]
+    for name in names:
+        def seen(df, *args, _real=getattr(I, name)):
+            read.append(sorted(df.inputFiles()))
+            return _real(df, *args)
+
+        monkeypatch.setattr(I, name, seen)
+    table = I.aggregate_importance(separable, FEATURES, trees=3, max_iter=20)
+    assert {r["Feature"] for r in table.collect()} == set(FEATURES)
+    assert len(read) == 3 and read[0] and read[0] == read[1] == read[2]
