@@ -13,8 +13,8 @@ DataFrame functions are used.
    buckets over all texts, and a word's place in the order is its bucket's
    binary order of magnitude, then its hash. Any fixed order is exact; rare
    words first keep the groups below small.
-3. Lines that share the three least or the three greatest words, in one of three
-   pseudorandom orders, meet the earliest of them only. Those that are similar to
+3. Lines that share the three words after or before one of three places in the
+   circle of their sorted hashes meet the earliest of them only. Those that are similar to
    it are settled. This is linear, and settles nearly all of a large group of
    similar lines.
 4. Two similar sets share a word among the first few of both (prefix filter),
@@ -56,6 +56,8 @@ HASH_BITS = 57
 SMALL = 3
 #: Sets of so many words have twice the parity bits.
 LARGE = 64
+#: Where the sorted hashes of a set are cut: for bands at the thirds, for parity bits in halves.
+CUTS = (-(1 << 63) + (1 << 64) // 3, 0, -(1 << 63) + (1 << 65) // 3)
 #: From so many words on, 128 parity bits are too few to part two sets of similar sizes.
 HUGE = 1024
 
@@ -85,11 +87,11 @@ def _known_by(line: Column) -> Column:
         return F.array_distinct(F.array_remove(pieces, ""))
 
     # most lines have more different words than that among their first pieces
-    few = F.size(words(F.slice(F.split(line, " ", 8), 1, 7))) <= SMALL
+    few = F.size(words(_words(F.substring_index(line, " ", 7)))) <= SMALL
     small = few & (F.size(words(_words(line))) <= SMALL)
     # the marked set is no other line's text: a line has no line break
     return F.when(small, F.concat(F.lit("\n"), F.array_join(
-        F.array_sort(words(_words(line))), " "))).otherwise(line)
+        F.sort_array(words(_words(line))), " "))).otherwise(line)
 
 
 def _key(known: Column) -> Column:
@@ -111,7 +113,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     # along with each line, and the key be computed for each.
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
                         F.split(_spaced(F.col(text_col)), "\n").alias("lines"))
-    lines = split.select("id", "text_key", F.posexplode("lines").alias("no", "line"))
+    # outer: else Spark splits the text twice more, to filter out texts without lines
+    lines = split.select("id", "text_key", F.posexplode_outer("lines").alias("no", "line"))
     # a line of ``least`` words has more characters than that; the cheap test comes first
     return lines.filter((F.octet_length("line") >= 2 * least - 1) & _full(F.col("line"), least))
 
@@ -128,15 +131,21 @@ def _rarity(docs: DataFrame, text: Column) -> Column:
     return F.split(ranks, ",").cast("array<bigint>")
 
 
-def _ordered_set(line: Column, rarity: Column) -> Column:
-    """A line's different words as numbers, rare ones first."""
+def _hashes(line: Column) -> Column:
+    """A line's different words as numbers."""
+    # pieces between adjacent spaces are no words
+    return F.array_distinct(F.transform(F.array_remove(_words(line), ""), lambda word: F.xxhash64(word)))
 
-    def number(word: Column) -> Column:
-        code = F.xxhash64(word)
-        rank = F.get(rarity, code.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(rank, HASH_BITS).bitwiseOR(code.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), number)))
+def _ranked(hashes: Column, rarity: Column) -> Column:
+    """Hashes of different words as numbers that are smaller for rare ones."""
+
+    def number(code: Column) -> Column:
+        # every bucket has a rank; that no number is null makes for a faster sort
+        rank = F.coalesce(rarity[code.bitwiseAND(F.lit(BUCKETS - 1))], F.lit(0).cast("long"))
+        return F.shiftleft(rank, HASH_BITS).bitwiseOR(F.shiftrightunsigned(code, 64 - HASH_BITS))
+
+    return F.transform(hashes, number)
 
 
 def _once(value: Column) -> Column:
@@ -144,28 +153,25 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _parity(words: Column, half: int | None = None) -> Column:
-    """64 parity bits of a set, or of one half of it: every word flips one."""
+def _parity(words: Column) -> Column:
+    """64 parity bits of a set: every word flips one."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))))
 
-    def flip(bits: Column, word: Column) -> Column:
-        # the distance is the word's last six bits
-        flipped = bits.bitwiseXOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))
-        if half is None:
-            return flipped
-        return F.when(F.shiftright(word, 6).bitwiseAND(F.lit(1)) == half, flipped).otherwise(bits)
 
-    return F.aggregate(words, F.lit(0).cast("long"), flip)
+def _below(marked: Column, cut: int) -> Column:
+    """How many of a sorted set's words lie below a cut; ``marked`` is the set with the cuts in it."""
+    place = F.array_position(marked, F.lit(CUTS[cut]).cast("long"))
+    return (place - (cut + 1)).cast("int")
 
 
-def _bands(words: Column) -> Column:
-    """Hashes of the three least and the three greatest words in three pseudorandom orders."""
-    bands = []
-    for k in range(3):
-        order = F.sort_array(F.transform(words, lambda word: F.xxhash64(F.lit(k), word)))  # noqa: B023
-        bands.append(F.transform(F.array(order), lambda o: F.array(
-            F.xxhash64(F.slice(o, 1, 3)), F.xxhash64(F.slice(o, -3, 3))))[0])
-    return F.flatten(F.array(*bands))
+def _bands(ring: Column, starts: list[Column]) -> Column:
+    """Hashes of the three words after and before each start in the circle of the sorted words.
+
+    Read from any start, the circle is a pseudorandom order of the words. ``ring`` has
+    three words more at each end.
+    """
+    return F.array(*[F.xxhash64(F.slice(ring, start + first, F.lit(3))) for start in starts for first in (4, 1)])
 
 
 def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -184,17 +190,30 @@ def _first_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Dat
     other = F.xxhash64(F.lit(1), "known")
     firsts = known.groupBy(_key(F.col("known")).alias("key")).agg(
         F.min(F.struct("id", "text_key", "no", "line")).alias("m"), (F.min(other) != F.max(other)).alias("mixed"))
+    # Functions with a lambda are interpreted, with all that stands inside them;
+    # the others are compiled. So each step is a column, used more than once.
     sets = firsts.select("key", "mixed", "m.id", "m.text_key", "m.no", "m.line",
-                         _once(_ordered_set(F.col("m.line"), rarity)).alias("words"))
-    n, words, none = F.size("words"), F.col("words"), F.lit(0).cast("long")
+                         _hashes(F.col("m.line")).alias("hashes"))
+    sets = sets.select("key", "mixed", "id", "text_key", "no", "line", F.size("hashes").alias("n"),
+                       F.sort_array("hashes").alias("sorted"), F.sort_array(_ranked(F.col("hashes"), rarity)).alias("words"))
+    marked = F.sort_array(F.concat("sorted", F.array(*[F.lit(cut).cast("long") for cut in CUTS])))
+    sets = sets.withColumn("marked", marked)
+    below = [_below(F.col("marked"), cut) for cut in range(len(CUTS))]
+    ring = F.concat(F.slice("sorted", -3, 3), "sorted", F.slice("sorted", 1, 3))
+    sets = sets.withColumns({"low": below[0], "half": below[1], "high": below[2], "ring": ring})
+    n, half = F.col("n"), F.col("half")
+    sets = sets.withColumns({"lower": _parity(F.slice("sorted", F.lit(1), half)),
+                             "upper": _parity(F.slice("sorted", half + 1, n))})
     # 64 bits tell sets of up to as many words apart, larger ones have 128; the
     # two halves of a large set's bits, combined, are its 64
-    p0 = F.when(n >= LARGE, _parity(words, 0)).otherwise(_parity(words))
-    p1 = F.when(n >= LARGE, _parity(words, 1)).otherwise(none)
+    lower, upper = F.col("lower"), F.col("upper")
+    p0 = F.when(n >= LARGE, lower).otherwise(lower.bitwiseXOR(upper))
+    p1 = F.when(n >= LARGE, upper).otherwise(F.lit(0).cast("long"))
     # at least 4/5 of a set must be in the other one
     prefix = F.slice("words", F.lit(1), (n - F.ceil(n * 4 / 5) + 1).cast("int"))
     early = _early(docs.schema[id_col].dataType, F.col("id")).alias("early")
-    searched = [F.col("line"), n.alias("n"), p0.alias("p0"), p1.alias("p1"), prefix.alias("prefix"), early, _bands(words).alias("bands")]
+    bands = _bands(F.col("ring"), [F.lit(0), F.col("low"), F.col("high")])
+    searched = [F.col("line"), n.alias("n"), p0.alias("p0"), p1.alias("p1"), prefix.alias("prefix"), early, bands.alias("bands")]
     stored = sets.select("key", "mixed", "id", "text_key", "no",
                          F.when((n > SMALL) & ~F.col("mixed"), F.struct(*searched)).alias("s")).select(
         "key", "mixed", "id", "text_key", "no", "s.*")
@@ -318,10 +337,9 @@ def _similar(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     # Each line once: both sides read this shuffle. It is by another column than
     # the key, or it would be left out, and a line with very many partners could
     # not be split.
-    words = F.transform(F.array_remove(_words(F.col("line")), ""), lambda word: F.xxhash64(word))
     known = firsts.filter("n IS NOT NULL").join(wanted, "key").select(
         F.bitwise_not("key").alias("ref"), place.alias("place"),
-        F.array_distinct(words).alias("words")).repartition("ref")
+        _hashes(F.col("line")).alias("words")).repartition("ref")
     one, other = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in known.columns]) for side in "ab")
     n, m = F.size("words_a"), F.size("words_b")
     both = F.size(F.array_intersect("words_a", "words_b"))

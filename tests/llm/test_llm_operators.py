@@ -462,6 +462,18 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert line_dedup.removed_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_splits_a_text_once_and_compiles_its_keys(spark):
+    df = spark.createDataFrame([(1, "a b c d e\n\nf"), (2, None)], "doc_id long, text string")
+    lines = line_dedup._lines(df, "doc_id", "text", 1)
+    known = lines.select("line", line_dedup._once(line_dedup._known_by(F.col("line"))).alias("known"))
+    assert [r["line"] for r in lines.collect()] == ["a b c d e", "f"]
+    plan = [x._jdf.queryExecution().executedPlan().toString() for x in (lines, known)]
+    # a filter on the size of the split text would split it again
+    assert plan[0].count("split(") == 1
+    # functions with a lambda are interpreted
+    assert "lambda" not in plan[1]
+
+
 def brute_removed_of_any_size(docs):
     seen, removed = [], {}
     for doc, text in docs:
